@@ -1,18 +1,20 @@
 """Operator 2: exact repeated substrings, by suffix arrays over shards.
 
 A byte is repeated if a string of `length` bytes that covers it starts at a second place of the
-corpus, in the same document or another. Each such string holds an anchor: the least hash of the
-ANCHOR-byte windows inside it, which depends on the string alone. So
+corpus, in the same document or another. Each such string holds an anchor: of the ANCHOR-byte
+windows inside it the one with the least hash (the first among equals), which depends on the string
+alone. The strings with one anchor start side by side; they span the anchor's piece of text. So
 
 1. anchors are counted over all texts (8 bytes of hash each, pre-aggregated);
-2. occurrences of anchors that occur twice are kept with a hash of their context, which is all
-   that strings through this anchor can reach. Equal contexts are repeated throughout;
-3. where one anchor has several contexts, one occurrence of each goes, as bytes, to the shard of
-   its anchor. Each shard's suffix array is built by induced sorting; where the permuted common
-   prefixes reach `length`, neighbouring suffixes are one string, and strings of two places mark their bytes.
-
-An anchor with more than HOT contexts is settled without holding them: the hashes (128 bits) of
-all its strings are counted. Anchors are 64-bit hashes, contexts 128-bit ones with the anchor.
+2. occurrences of anchors that occur twice are kept with a hash of their piece. Equal pieces are
+   repeated throughout;
+3. where one anchor has several pieces, one occurrence of each goes, as bytes, to the shard of
+   its anchor. There the anchor itself, which is the same in all of them, is one symbol. Each shard's
+   suffix array is built by induced sorting; where the permuted common prefixes reach a string's length,
+   neighbouring suffixes are one string, and strings of two places mark their bytes.
+
+An anchor with more than HOT pieces is settled without holding them: the hashes (128 bits) of
+all its strings are counted. Anchors are 64-bit hashes, pieces 128-bit ones with the anchor.
 Documents are known by 128-bit keys of their texts, so copies are handled once and repeated rows,
 missing or repeated doc_ids need no care. Bloom filters of bounded size keep rows that can't match
 out of shuffles; they drop nothing else.
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import _BYTE, Bloom, U, _M1, _M2, _M3, blocks, byte_view, i64, materialize, mix, ranges, text_keys
 from .sais import common_prefixes, suffix_array
 
-LENGTH, ANCHOR = 400, 64
-SHARD_BYTES, HOT = 4 << 20, 6000
+LENGTH, ANCHOR = 400, 256
+SHARD_BYTES, HOT = 1 << 20, 4000
 _MUL = [_M1, _M2, _M3, U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
 _SECOND = np.random.default_rng(20240502).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
@@ -51,14 +53,12 @@ def _doubling(h: np.ndarray, upto: int, keep: tuple[int, ...]) -> dict[int, np.n
         size, k = size * 2, k + 1
 
 
-def _window(h: dict[int, np.ndarray], size: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of windows of any size from those of the largest power of two that is kept below it."""
-    p = max(s for s in h if s <= size)
+def _window(h: dict[int, np.ndarray], size: int) -> np.ndarray:
+    """Hashes of all windows of a size from those of a power of two of at least half of it."""
+    p = max(x for x in h if x <= size)
     a = h[p]
-    if at is None:
-        n = len(a) - (size - p)
-        return mix(a[:n] * _M1 + mix(a[size - p : size - p + n]))
-    return mix(a[at] * _M1 + mix(a[at + size - p]))
+    n = len(a) - (size - p)
+    return mix(a[:n] * _M1 + mix(a[size - p : size - p + n]))
 
 
 def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -71,33 +71,27 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray
     return op(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int, contexts: bool) -> tuple[np.ndarray, ...]:
-    """Anchors of a block of documents: (document, position, hash) and, if asked for, context hash."""
-    pad = length - ANCHOR
+def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors of a block of documents: (document, first start, last start, anchor's place, anchor's
+    hash, piece's hash). The strings of one anchor start from first to last."""
     size = np.diff(off)
     doc = np.flatnonzero(size >= length)
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
     if not len(doc):
-        return (*none, np.zeros(0, U)) if contexts else none
-    size = size[doc]
-    start = pad + np.concatenate([[0], np.cumsum(size + pad)[:-1]])  # in the padded row
-    h = np.full(int(start[-1] + size[-1] + pad), _M3)
-    h[ranges(start, size)] = _BYTE[data[ranges(off[doc], size)]]
-    reach = length + pad  # a context: pad bytes before the anchor, and from it length bytes
-    top = 1 << (reach.bit_length() - 1)
-    levels = _doubling(h, top if contexts else ANCHOR, (ANCHOR, top))
-    g = mix(levels[ANCHOR]) | U(1)
-    w = length - ANCHOR + 1
-    low = _sliding(g, w, np.minimum, U(0xFFFFFFFFFFFFFFFF))
-    valid = np.zeros(len(low), bool)
-    valid[ranges(start, size - length + 1)] = True
-    low[~valid] = 0
-    high = _sliding(np.concatenate([np.zeros(w - 1, U), low, np.zeros(w - 1, U)]), w, np.maximum, U(0))[: len(g)]
-    at = np.flatnonzero(high == g)
-    which = np.searchsorted(start, at, "right") - 1
-    found = (doc[which], at - start[which], levels[ANCHOR][at])
-    found = (found[0], found[1], mix(found[2] ^ _M1))
-    return (*found, _window({top: levels[top]}, reach, at - pad)) if contexts else found
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0, U), np.zeros(0, U)
+    g = _doubling(_BYTE[data], ANCHOR, (ANCHOR,))[ANCHOR]
+    # hash above, place below: the least is the first of the least; 32 bits decide alike everywhere
+    order = (mix(g) & U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=U)
+    chosen = (_sliding(order, length - ANCHOR + 1, np.minimum, U(0xFFFFFFFFFFFFFFFF)) & U(0xFFFFFFFF)).astype(np.int64)
+    starts = ranges(off[doc], size[doc] - length + 1)
+    at = chosen[starts]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    first, last, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], at[new]
+    which = np.searchsorted(off, first, "right") - 1
+    end = last + length
+    piece = mix(g[first] * _M1 + mix(g[end - ANCHOR] * _M2 + mix(g[(first + end - ANCHOR) // 2] + (end - first).astype(U) * _M3)) + (at - first).astype(U))
+    base = off[which]
+    return which, first - base, last - base, at - base, mix(g[at] ^ _M1), piece
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -106,16 +100,15 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """docs (text) -> h1, h2 (the text's key), spans array<struct<a, b>>: its repeated bytes, in pieces that may overlap."""
-    if length < 2 * ANCHOR:
-        raise ValueError(f"length must be at least {2 * ANCHOR}")
+    if not ANCHOR < length <= 2 * ANCHOR:
+        raise ValueError(f"length must be over {ANCHOR} and at most {2 * ANCHOR}")
     spark = docs.sparkSession
     source = _texts(docs, text)
-    pad = length - ANCHOR
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = byte_view(b.column(0))
-            parts = [anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, False)[2] for lo, hi in blocks(off)]
+            parts = [anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)[4] for lo, hi in blocks(off)]
             h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U), return_counts=True)
             yield pa.RecordBatch.from_arrays([i64(h), i64(n)], ["anchor", "n"])
 
@@ -129,19 +122,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
             h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, off = byte_view(b.column(2))
             for lo, hi in blocks(off):
-                d, p, a, c = anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, True)
+                d, first, last, at, a, c = anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)
                 hit = bloom.contains(a)
-                d, p, a, c = d[hit] + lo, p[hit], a[hit], c[hit]
-                yield pa.RecordBatch.from_arrays([i64(a), i64(c), i64(h1[d]), i64(h2[d]), i64(p)], ["anchor", "context", "h1", "h2", "p"])
-
-    found = source.mapInArrow(occurrences, "anchor long, context long, h1 long, h2 long, p long")
-    found = materialize(found.groupBy("anchor", "context", "h1", "h2", "p").agg(F.count("*").alias("n")), "occurrences")
-    classes = materialize(found.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "p")).alias("one")), "contexts")
-    whole = found.join(classes.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("h1", "h2", (F.col("p") - pad).alias("a"), (F.col("p") + length).alias("b"))
+                d = d[hit] + lo
+                short = [pa.array(x[hit].astype(np.int32)) for x in (first, last, at)]
+                yield pa.RecordBatch.from_arrays([i64(a[hit]), i64(c[hit]), i64(h1[d]), i64(h2[d]), *short], ["anchor", "piece", "h1", "h2", "first", "last", "at"])
+
+    found = source.mapInArrow(occurrences, "anchor long, piece long, h1 long, h2 long, first int, last int, at int")
+    found = materialize(found.groupBy("anchor", "piece", "h1", "h2", "first", "last", "at").agg(F.count("*").alias("n")), "occurrences")
+    classes = materialize(found.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "first", "last", "at")).alias("one")), "classes")
+    whole = found.join(classes.where("n > 1").select("anchor", "piece"), ["anchor", "piece"]).select("h1", "h2", F.col("first").cast("long").alias("a"), (F.col("last").cast("long") + length).alias("b"))
     several = classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    chosen = materialize(classes.join(several, "anchor").select("anchor", "one.h1", "one.h2", "one.p", (F.col("m") > HOT).alias("hot")), "chosen")
+    chosen = materialize(classes.join(several, "anchor").select("anchor", "one.*", (F.col("m") > HOT).alias("hot")), "chosen")
 
-    # the bytes of the chosen contexts; a text that is there many times is sent once per task
+    # the bytes of the chosen pieces; a text that is there many times is sent once per task
     near = Bloom.build(chosen, "h1")
     may_have = spark.sparkContext.broadcast(near.bits)
 
@@ -159,7 +153,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for i in range(b.num_rows):
                 h1, h2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 if (h1, h2) == last:
@@ -167,86 +161,96 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
                 last = h1, h2
                 raw = b.column(2)[i].as_py().encode()
                 for x in b.column(3)[i].as_py():
-                    a = max(0, x["p"] - pad)
-                    for column, v in zip(out, (x["anchor"], h1, h2, a, raw[a : x["p"] + length], x["hot"])):
+                    a, at = x["first"], x["at"]
+                    piece = raw[a:at] + raw[at + ANCHOR : x["last"] + length]
+                    for column, v in zip(out, (x["anchor"], h1, h2, a, at - a, piece, x["hot"])):
                         column.append(v)
-            types = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["anchor", "h1", "h2", "a", "bytes", "hot"])
+            types = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["anchor", "h1", "h2", "a", "left", "bytes", "hot"])
 
-    need = chosen.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "p", "hot")).alias("at"))
+    need = chosen.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "hot")).alias("places"))
     texts = source.mapInArrow(once, source.schema).join(need, ["h1", "h2"])
-    contexts = materialize(texts.select("h1", "h2", "text", "at").mapInArrow(cut, "anchor long, h1 long, h2 long, a long, bytes binary, hot boolean"), "pieces")
-    n, hot = contexts.agg(F.count("*"), F.coalesce(F.bool_or("hot"), F.lit(False))).first()
+    schema = "anchor long, h1 long, h2 long, a long, left long, bytes binary, hot boolean"
+    pieces = materialize(texts.select("h1", "h2", "text", "places").mapInArrow(cut, schema), "pieces")
+    total, hot = pieces.agg(F.coalesce(F.sum(F.octet_length("bytes") + 2), F.lit(0)), F.coalesce(F.bool_or("hot"), F.lit(False))).first()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for b in batches:
-            anchor, h1, h2, a = (b.column(i).to_pylist() for i in range(4))
-            raw = b.column(4).to_pylist()
-            for i in range(b.num_rows):
-                if size >= SHARD_BYTES and anchor[i] != last:  # all contexts of an anchor share a shard
+            for row in zip(*(c.to_pylist() for c in b.columns[:6])):
+                if size >= SHARD_BYTES and row[0] != last:  # all pieces of an anchor share a shard
                     yield _shard(held, length)
                     held, size = [], 0
-                held.append((h1[i], h2[i], a[i], raw[i]))
-                size += len(raw[i])
-                last = anchor[i]
+                held.append(row)
+                size += len(row[5]) + 2
+                last = row[0]
         if held:
             yield _shard(held, length)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (length + pad) // (4 * SHARD_BYTES)))
-    cold = contexts.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * SHARD_BYTES)))
+    cold = pieces.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor")
     result = whole.unionByName(cold.mapInArrow(shards, "h1 long, h2 long, a long, b long"))
     if hot:
-        strings = materialize(contexts.where("hot").mapInArrow(lambda x: _strings(x, length), "w1 long, w2 long, h1 long, h2 long, a long"), "strings")
-        place = F.struct("h1", "h2", "a")
-        again = strings.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("w1", "w2")
-        result = result.unionByName(strings.join(again, ["w1", "w2"], "left_semi").select("h1", "h2", "a", (F.col("a") + length).alias("b")))
+        strings = materialize(pieces.where("hot").mapInArrow(lambda x: _strings(x, length), "anchor long, w1 long, w2 long, h1 long, h2 long, a long"), "strings")
+        place, key = F.struct("h1", "h2", "a"), ["anchor", "w1", "w2"]
+        again = strings.groupBy(*key).agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select(*key)
+        result = result.unionByName(strings.join(again, key, "left_semi").select("h1", "h2", "a", (F.col("a") + length).alias("b")))
     return materialize(result.groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 
-def _shard(held: list[tuple[int, int, int, bytes]], length: int) -> pa.RecordBatch:
-    """Spans of the strings that start at two places of the shard. 0xFF, which no UTF-8 holds, ends each piece."""
-    t = np.frombuffer(b"\xff".join([x[3] for x in held]) + b"\xff", np.uint8)
-    size = np.array([len(x[3]) for x in held])
-    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+def _symbols(raw: bytes, left: int, anchor: int) -> np.ndarray:
+    """A piece with its anchor as one symbol, and 255, which no UTF-8 holds, at its end."""
+    t = np.empty(len(raw) + 2, np.int32)
+    b = np.frombuffer(raw, np.uint8)
+    t[:left], t[left], t[left + 1 : -1], t[-1] = b[:left], anchor, b[left:], 255
+    return t
+
+
+def _shard(held: list[tuple], length: int) -> pa.RecordBatch:
+    """Spans of the strings that start at two places, of pieces (anchor, h1, h2, a, left, bytes)."""
+    need = length - ANCHOR + 1  # a string's length, with its anchor as one symbol
+    groups: dict[int, int] = {}
     documents: dict[tuple[int, int], int] = {}
-    doc = np.array([documents.setdefault(x[:2], len(documents)) for x in held])
-    first = np.array([x[2] for x in held])
-    sa = suffix_array(t, 256)
-    prefix = common_prefixes(t, sa, int(size.max()) + 1, begin)
-    piece = np.repeat(np.arange(len(held)), size + 1)
+    t = np.concatenate([_symbols(x[5], x[4], 256 + groups.setdefault(x[0], len(groups))) for x in held])
+    size = np.array([len(x[5]) + 2 for x in held])
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    doc = np.array([documents.setdefault(x[1:3], len(documents)) for x in held])
+    first = np.array([x[3] for x in held])
+    sa = suffix_array(t, 256 + len(groups))
+    prefix = common_prefixes(t, sa, int(size.max()), begin)
+    piece = np.repeat(np.arange(len(held)), size)
     inside = np.arange(len(t)) - begin[piece]
-    place = (doc[piece] << 40) | (first[piece] + inside)
-    fits = inside + length <= size[piece]
+    place = (doc[piece] << 32) | (first[piece] + inside)
+    fits = inside + need < size[piece]
     ordered = sa[fits[sa]]
-    new = prefix[ordered] < length
+    new = prefix[ordered] < need
     new[:1] = True
     run = np.flatnonzero(new)
     p = place[ordered]
     several = np.minimum.reduceat(p, run) != np.maximum.reduceat(p, run) if len(run) else np.zeros(0, bool)
     at = np.sort(ordered[np.repeat(several, np.diff(np.append(run, len(ordered))))])
     if len(at):
-        cut = np.concatenate([[True], (at[1:] - at[:-1] > length) | (piece[at[1:]] != piece[at[:-1]])])
+        cut = np.concatenate([[True], piece[at[1:]] != piece[at[:-1]]])  # within a piece all strings overlap
         lo, hi = at[cut], at[np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1)]
     else:
         lo = hi = at
     k = piece[lo]
-    keys = np.array([x[:2] for x in held], np.int64).reshape(-1, 2)[k]
+    keys = np.array([x[1:3] for x in held], np.int64).reshape(-1, 2)[k]
     return pa.RecordBatch.from_arrays([i64(keys[:, 0]), i64(keys[:, 1]), i64(first[k] + inside[lo]), i64(first[k] + inside[hi] + length)], ["h1", "h2", "a", "b"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """128-bit hashes of all strings of the given length in the pieces, with their places."""
-    top = 1 << (length.bit_length() - 1)
+    need = length - ANCHOR + 1
+    top = 1 << (need.bit_length() - 1)
+    first, second = (np.append(x, x[0] ^ _M2) for x in (_BYTE, _SECOND))
     for b in batches:
-        for i in range(b.num_rows):
-            raw = np.frombuffer(b.column(4)[i].as_py(), np.uint8)
-            if len(raw) < length:
-                continue
-            w1, w2 = (_window(_doubling(table[raw], top, (top,)), length) for table in (_BYTE, _SECOND))
+        for anchor, h1, h2, a, left, raw in zip(*(c.to_pylist() for c in b.columns[:6])):
+            t = _symbols(raw, left, 256)[:-1]
+            w1, w2 = (_window(_doubling(table[t], top, (top,)), need) for table in (first, second))
             m = len(w1)
-            same = [pa.array(np.full(m, b.column(j)[i].as_py(), np.int64)) for j in (1, 2)]
-            yield pa.RecordBatch.from_arrays([i64(w1), i64(w2), *same, i64(b.column(3)[i].as_py() + np.arange(m))], ["w1", "w2", "h1", "h2", "a"])
+            same = [pa.array(np.full(m, v, np.int64)) for v in (anchor, h1, h2)]
+            yield pa.RecordBatch.from_arrays([same[0], i64(w1), i64(w2), *same[1:], i64(a + np.arange(m))], ["anchor", "w1", "w2", "h1", "h2", "a"])
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:

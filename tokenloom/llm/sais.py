@@ -172,7 +172,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, limit: int, breaks: np.ndarra
         red[1:] &= phi[:-1] >= 0
     at = np.flatnonzero(~red)
     value = np.zeros(len(at), np.int64)
-    padded = np.concatenate([t.astype(np.int16), np.full(limit + 64, -1, np.int16)])
+    padded = np.concatenate([t.astype(np.int32), np.full(limit + 64, -1, np.int32)])
     live = np.flatnonzero(phi[at] >= 0)
     step, done = 8, 0
     while len(live) and done < limit:
