@@ -5,7 +5,8 @@ Signs count as spaces and A-Z as a-z. A template of m five-word shingles is look
 2 m shingles that start every m, so a whole occurrence lies in one window and a window that holds 0.8
 of it has a similarity of at least 0.8 m / (2 m + 0.2 m) > 0.36. With COORDS bands of one coordinate the
 chance to miss it is 0.64 ** 40 < 2e-8. Windows without any template's shingle can't match
-and aren't sketched. A licence is found where a window holds at least CONTAINED of a template.
+and aren't sketched. A licence is found where a window holds at least CONTAINED of a template, unless a better match in the
+document holds the same shingles.
 
 A null or empty text, or one of fewer words than a shingle, has no licence. Each row is scanned by
 itself, over its whole text; templates are a fixed list, so nothing grows with the data.
@@ -83,6 +84,7 @@ class Scanner:
         if not len(hit):
             return found
         doc = np.searchsorted(at, hit, "right") - 1
+        matches: dict[int, list[tuple[float, int, set[int]]]] = {}
         for m in np.unique(self.size):
             place = (hit - at[doc]) // m  # a place is in the windows that start at its step and at the one before
             key = np.unique(np.concatenate([doc * (1 << 40) + place, doc * (1 << 40) + np.maximum(place - 1, 0)]))
@@ -93,10 +95,15 @@ class Scanner:
             coords = sketch(flat, np.concatenate([[0], np.cumsum(size)]), COORDS)
             for t in np.flatnonzero(self.size == m):
                 for i in np.flatnonzero((coords == self.coords[t]).any(1)):
-                    share = np.isin(self.sets[t], h[lo[i] : hi[i]], assume_unique=False).mean()
-                    if share >= CONTAINED:
-                        best = found.setdefault(int(d[i]), {})
-                        best[self.names[t]] = max(best.get(self.names[t], 0.0), float(share))
+                    there = np.isin(self.sets[t], h[lo[i] : hi[i]])
+                    if there.mean() >= CONTAINED:
+                        matches.setdefault(int(d[i]), []).append((float(there.mean()), int(t), set(self.sets[t][there].tolist())))
+        for doc_, all_ in matches.items():
+            best = found.setdefault(doc_, {})
+            for share, t, part in all_:
+                # versions of one notice differ in a word: what a better match explains doesn't count again
+                if not any(s > share and part <= p for s, _, p in all_):
+                    best[self.names[t]] = max(best.get(self.names[t], 0.0), share)
         return found
 
 

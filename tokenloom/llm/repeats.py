@@ -273,9 +273,9 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs with key columns, in two parts: rows whose text has spans (with them), and the others.
-    The others, most of a corpus, aren't shuffled."""
-    keyed = docs.select("*", *text_keys(text))
+    """docs as (row struct, h1, h2), in two parts: rows whose text has spans (with them), and the others.
+    The others, most of a corpus, aren't shuffled. Columns of docs can't clash, as they are in row."""
+    keyed = docs.select(F.struct("*").alias("row"), *text_keys(text))
     may = Bloom.build(spans, "h1")
     hit = may.keep(keyed, "h1").join(spans, ["h1", "h2"], "left")
     return hit, may.keep(keyed, "h1", negate=True)
@@ -299,9 +299,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
                 kept.append(hashlib.sha256(without(raw, runs)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, runs_of)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    changed = hit.select("doc_id", "text", "spans").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    changed = hit.select("row.doc_id", "row.text", "spans").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
-    same = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    same = rest.select("row.doc_id", F.octet_length("row.text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("row.text", 256).alias("kept_sha256"))
     return changed.unionByName(same)
 
 
@@ -315,8 +315,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> Da
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = []
-            for t, s in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist()):
+            cols, new = b.column(0).flatten(), []
+            for t, s in zip(cols[at].to_pylist(), b.column(1).to_pylist()):
                 if t is not None and s:
                     raw = t.encode()
                     runs = []
@@ -328,8 +328,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> Da
                         runs.append((x, y))
                     t = without(raw, runs).decode()
                 new.append(t)
-            cols = list(b.columns[: len(columns)])
-            cols[at] = pa.array(new, b.schema.field(at).type)
+            cols[at] = pa.array(new, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return hit.select(*columns, "spans").mapInArrow(rows, schema).unionByName(rest.select(*columns))
+    return hit.select("row", "spans").mapInArrow(rows, schema).unionByName(rest.select("row.*"))
