@@ -16,7 +16,19 @@ _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111
 BLOOM_BITS = 1 << 28
 
 
+#: Rows of an Arrow batch and bytes of text that are worked on at once; they bound a Python worker's memory.
+BATCH_ROWS, BLOCK_BYTES = 1024, 1 << 18
+
+
+def bounded(spark: SparkSession) -> None:
+    """See that Arrow batches of documents stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
@@ -61,7 +74,7 @@ _POW: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW.get("p", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         p = 0xD6E8FEB86659FD93
         for key, base in (("p", p), ("i", pow(p, -1, 1 << 64))):
             a = np.full(size, base, U)
@@ -90,7 +103,7 @@ def byte_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def blocks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most limit bytes together (one long document is a range of its own)."""
     n, lo = len(off) - 1, 0
     while lo < n:

@@ -36,7 +36,7 @@ from .common import _BYTE, Bloom, U, _M1, _M2, _M3, blocks, byte_view, i64, mate
 from .sais import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 400, 256
-SHARD_BYTES, HOT = 1 << 20, 4000
+SHARD_BYTES, HOT = 1 << 19, 4000
 _MUL = [_M1, _M2, _M3, U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
 _SECOND = np.random.default_rng(20240502).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
@@ -187,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
         if held:
             yield _shard(held, length)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * SHARD_BYTES)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * SHARD_BYTES)))
     cold = pieces.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor")
     result = whole.unionByName(cold.mapInArrow(shards, "h1 long, h2 long, a long, b long"))
     if hot:
