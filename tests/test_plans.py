@@ -36,7 +36,7 @@ def test_every_window(spark):
     flat = [t for r in rows for t in r[2]]
     items = spark.createDataFrame([(0, i, t) for i, t in enumerate(flat)], "doc_id long, position long, token long")
     n = len(flat)
-    want = spark.range(n + 1).select(F.col("id").alias("start"), F.explode(F.array(*map(F.lit, (0, 1, 5, 16, 17, 40)))).cast("long").alias("length"))
+    want = spark.range(n + 1).select(F.col("id").alias("start"), F.explode(F.array(*map(F.lit, (0, 1, 5, 16, 17, 40))).cast("array<long>")).alias("length"))
     want = want.where(F.col("start") + F.col("length") <= n).select((F.col("start") * 100 + F.col("length")).alias("window"), "start", "length")
     for r in read.windows(want, plans.chunks(items, 16), 16).collect():
         assert r["tokens"] == flat[r["start"] : r["start"] + r["window"] % 100]

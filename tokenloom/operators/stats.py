@@ -26,10 +26,11 @@ def skip_guard(docs: DataFrame, order: str, limit: float, least: int) -> DataFra
 
 
 def length_stats(sized: DataFrame) -> DataFrame:
+    """Counts and lengths; fractions to six digits, as engines interpolate in different orders."""
     n = F.col("n_items")
     return sized.agg(
-        F.count("*").alias("n_docs"), F.sum(n).alias("n_items"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"),
-        F.percentile(n, F.lit(0.9)).alias("p90"), F.max(n).alias("longest"), F.max_by(F.col("doc_id"), F.struct(n, -F.col("doc_id"))).alias("longest_id"),
+        F.count("*").alias("n_docs"), F.sum(n).alias("n_items"), F.round(F.avg(n), 6).alias("mean"), F.round(F.percentile(n, F.lit(0.5)), 6).alias("median"),
+        F.round(F.percentile(n, F.lit(0.9)), 6).alias("p90"), F.max(n).alias("longest"), F.max_by(F.col("doc_id"), F.struct(n, -F.col("doc_id"))).alias("longest_id"),
     )
 
 

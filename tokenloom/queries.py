@@ -423,7 +423,7 @@ def corpus_rollup(spark, sf_dir):
     return _sized(spark, sf_dir).withColumnRenamed("lang", "source").rollup("source", "split").agg(F.count("*").alias("n_docs"), F.sum("n_items").alias("n_items"))
 
 
-@query("""select count(*) as n_docs, cast(sum(n_items) as bigint) as n_items, avg(n_items) as mean, quantile_cont(n_items, 0.5) as median, quantile_cont(n_items, 0.9) as p90,
+@query("""select count(*) as n_docs, cast(sum(n_items) as bigint) as n_items, round(avg(n_items), 6) as mean, round(quantile_cont(n_items, 0.5), 6) as median, round(quantile_cont(n_items, 0.9), 6) as p90,
 max(n_items) as longest, (select doc_id from lens order by n_items desc, doc_id limit 1) as longest_id from lens""")
 def doc_length_stats(spark, sf_dir):
     return stats.length_stats(plans.lengths(documents(spark, sf_dir)))
