@@ -67,6 +67,42 @@ def test_pii_disguises(text, found):
     assert [text[a:b] for k in pii.KINDS for a, b in spans[k]] == ([found] if found else [])
 
 
+def disguises():
+    """Texts with every alternative in every bracket, and spelled numbers in several languages and separators."""
+    ats = [o + s + w + s + c for w in pii._AT_IN.split("|") for o in "[({<" for c in "])}>" for s in ("", " ")] + ["&#64;", " @ "]
+    dots = [o + s + w.replace("\\", "") + s + c for w in pii._DOT_IN.split("|") for o in "[({<" for c in "])}>" for s in ("", " ")] + [f" {w} " for w in pii._DOT_SPACED.split("|")]
+    out = [(f"jean{a}exemple.fr", "email") for a in ats]
+    out += [(f"jean{a}exemple{d}fr", "email") for a in ("@", " at ", "[at]") for d in dots]
+    out += [(d.join(("192", "168", "0", "1")), "ip") for d in dots]
+    names: dict = {}
+    for w, v in pii._NUMBER.items():
+        names.setdefault(v, []).append(w)
+    rng = random.Random(3)
+    for sep in (" ", "-", ",", ", "):
+        for plus in ("plus ", "plus-", "+"):
+            for _ in range(40):
+                digits = [rng.randint(1, 9)] + [rng.randint(0, 9) for _ in range(9)]
+                spelled = [rng.choice([str(d), *names[d]]) for d in digits]
+                if sum(not w.isdigit() and w not in pii._DOUBTFUL for w in spelled) > 1:
+                    out.append((plus + sep.join(spelled), "phone"))
+    return out
+
+
+def test_pii_gates_hide_no_disguise(monkeypatch):
+    texts = [t for t, _ in disguises()]
+    for t, kind in disguises():
+        assert pii.find(t)[1][kind], t
+    texts += ["oh " * 20, "null," * 16, "look at the dot", "5 plus 3 is eight", "one two", "at (the) dot"]
+    gated = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "_RUN", re.compile(""))
+    monkeypatch.setattr(pii, "_disguises", lambda t: True)
+    assert gated == [pii.find(t) for t in texts]
+
+
+def test_pii_words_that_are_digits_only_among_others():
+    assert not any(pii.find("oh " * 16)[1].values()) and not any(pii.find("null," * 16)[1].values())
+
+
 def test_pii_rows(spark):
     got = pii.find_pii(hard(spark)).collect()
     assert len(got) == len(HARD) and all(r["spans"] == "" for r in got)

@@ -94,8 +94,8 @@ class Tape:
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
+        self.start: list[int] = []  # both are filled at the first rewriting
+        self.end: list[int] = []
         self.touched: list[Span] = []
 
     def rewrite(self, pattern: re.Pattern, output) -> None:
@@ -107,6 +107,9 @@ class Tape:
             new = output(m)
             if new is None:
                 continue
+            if not self.touched:
+                self.start = list(range(len(self.text)))
+                self.end = list(range(1, len(self.text) + 1))
             a, b = m.span()
             text.append(self.text[at:a])
             s += self.start[at:a]
@@ -142,35 +145,47 @@ _DIGIT_WORD = "|".join(sorted(_NUMBER, key=len, reverse=True))
 _TIMES = r"(?:(?:double|triple)[ -]+)?"
 _SPELLED = re.compile(rf"(?<!\w)(?:{_TIMES}(?:{_DIGIT_WORD})|[0-9])(?:[ ,-]{{1,3}}(?:{_TIMES}(?:{_DIGIT_WORD})(?!\w)|[0-9]+(?!\w))){{3,}}", re.I)
 _ONE = re.compile(rf"(?:(double|triple)[ -]+)?({_DIGIT_WORD})(?!\w)|([0-9]+)", re.I)
-_PLUS = re.compile(r"(?<!\w)plus[ -]{1,2}(?=(?:[0-9]|zero|one|two|three|four|five|six|seven|eight|nine))", re.I)
-_AT = r"(?:\s?[\[({<]\s?(?:at|ät|arroba|arobase|chez|@)\s?[\])}>]\s?|\s(?:at|AT)\s|\s@\s|\s?&#64;\s?)"
-_DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|punto)\s)"
+_PLUS = re.compile(rf"(?<!\w)plus[ -]{{1,2}}(?=[0-9]|{_TIMES}(?:{_DIGIT_WORD})(?!\w))", re.I)
+_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+_AT_IN, _DOT_IN = "at|ät|arroba|arobase|chez|@", r"dot|punkt|punto|point|\."
+_DOT_SPACED = "dot|DOT|punkt|punto"
+_AT = rf"(?:\s?{_OPEN}\s?(?:{_AT_IN})\s?{_CLOSE}\s?|\s(?:at|AT)\s|\s@\s|\s?&#64;\s?)"
+_DOT = rf"(?:\s?{_OPEN}\s?(?:{_DOT_IN})\s?{_CLOSE}\s?|\s(?:{_DOT_SPACED})\s)"
 _DISGUISED = re.compile(
     rf"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)({_AT}|@)([A-Za-z0-9-]+)((?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I
 )
 _DOTS = re.compile(_DOT, re.I)
 _DISGUISED_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![\w])", re.I)
 _PROSE = frozenset("a an the this that these those his her its our your my their one all any each every".split())
-_HINTS = (" dot ", "dot]", "dot)", "dot}", "dot>", "dot ]", "dot )", " punkt ", "punkt]", "punkt)", " punto ", "punto]", "punto)", "point]", "point)", "[.", "(.", "{.", "[ .", "( .", "at]", "at)", "at}", "at>", "at ]", "at )", "@]", "@)", "ät]", "ät)", "arroba", "chez]", "chez)", " @ ", "&#64;", "\xad", "\xa0")
-_COUNTED = [" " + w for w in _NUMBER if w not in ("un", "uno", "null", "oh")]
-_DIGITS4 = re.compile(rf"(?:\b(?:{_DIGIT_WORD})\b[ ,-]{{1,3}}){{2}}", re.I)
+# Gates, of the same parts as the transducers: what these don't find, the transducers can't rewrite.
+# A spelled run ends in three or more pieces behind separators; the letters only stop most tries early.
+_FIRST = "".join(sorted({w[0] for w in [*_NUMBER, "double", "triple"]}))
+_RUN = re.compile(rf"(?:[ ,-]{{1,3}}(?=[0-9{_FIRST}])(?:{_TIMES}(?:{_DIGIT_WORD})|[0-9]+)(?!\w)){{3}}", re.I)
+# A plain @ and a bare "at" are rewritten only beside a disguised dot.
+_BRACKETED = re.compile(rf"{_OPEN}\s?(?:{_AT_IN}|{_DOT_IN})\s?{_CLOSE}", re.I)
+_SPACED = re.compile(rf"\s(?=[@{''.join(sorted({w[0].lower() for w in _DOT_SPACED.split('|')}))}])(?:@|{_DOT_SPACED})\s", re.I)
+_DOUBTFUL = frozenset(("un", "uno", "null", "oh"))  # runs of these alone are words
 
 
 def _spelled(m: re.Match) -> str | None:
     if not re.search("[a-z]", m[0], re.I):
         return None
     out = []
-    for times, word, digits in _ONE.findall(m[0]):
+    parts = _ONE.findall(m[0])
+    if all(word.lower() in _DOUBTFUL for _, word, _ in parts):
+        return None
+    for times, word, digits in parts:
         out.append(digits or str(_NUMBER[word.lower()]) * {"": 1, "double": 2, "triple": 3}[times.lower()])
     return "".join(out)
 
 
 def normalise(text: str) -> Tape:
     tape = Tape(text)
-    tape.rewrite(_INVISIBLE, lambda m: "")
-    tape.rewrite(_HOMOGLYPH, lambda m: _LOOKALIKE[m[0]])
-    if _DIGITS4.search(tape.text):
-        tape.rewrite(_PLUS, lambda m: "+")
+    if not text.isascii():
+        tape.rewrite(_INVISIBLE, lambda m: "")
+        tape.rewrite(_HOMOGLYPH, lambda m: _LOOKALIKE[m[0]])
+    tape.rewrite(_PLUS, lambda m: "+")
+    if _RUN.search(tape.text):
         tape.rewrite(_SPELLED, _spelled)
 
     def address(m: re.Match) -> str | None:
@@ -180,22 +195,15 @@ def normalise(text: str) -> Tape:
             return None  # "look at example.com" and "at the dot" are prose
         return _DOTS.sub(".", m[1]) + "@" + m[3] + _DOTS.sub(".", m[4])
 
-    tape.rewrite(_DISGUISED, address)
-    tape.rewrite(_DISGUISED_IP, lambda m: _DOTS.sub(".", m[0]) if _DOTS.search(m[0]) else None)
+    if _disguises(tape.text):
+        tape.rewrite(_DISGUISED, address)
+        tape.rewrite(_DISGUISED_IP, lambda m: _DOTS.sub(".", m[0]) if _DOTS.search(m[0]) else None)
     return tape
 
 
-def suspicious(text: str) -> bool:
-    """Can a transducer find anything to do? (Runs of un, uno, null and oh alone aren't taken for digits.)"""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        if _HOMOGLYPH.search(text) or _INVISIBLE.search(text):
-            return True
-    low = text.lower()
-    if any(h in low for h in _HINTS):
-        return True
-    return sum(map(low.count, _COUNTED)) > 1 and bool(_DIGITS4.search(text))
+def _disguises(text: str) -> bool:
+    """Is there a disguised @ or dot other than a bare "at"?"""
+    return "&#64;" in text or bool(_BRACKETED.search(text) or _SPACED.search(text))
 
 
 def _overlaps(spans: list[Span], a: int, b: int) -> bool:
@@ -206,8 +214,6 @@ def _overlaps(spans: list[Span], a: int, b: int) -> bool:
 def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that the transducers bring to light, apart from the base spans."""
     none: dict[str, list[Span]] = {k: [] for k in KINDS}
-    if not suspicious(text):
-        return none
     tape = normalise(text)
     if not tape.touched:
         return none
