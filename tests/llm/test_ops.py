@@ -314,6 +314,22 @@ def test_licenses(spark):
     assert len(licenses.scan_licenses(hard(spark)).collect()) == len(HARD)
 
 
+def test_license_bodies_without_their_notices(spark):
+    from tokenloom.llm.license_texts import PASSAGES
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    zlib_ = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+    bsd = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n{}\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+    third = "Neither the name of Foo nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    want = {mit: "MIT", "x " * 300 + mit + " y" * 300: "MIT", zlib_: "zlib", bsd.format(""): "BSD-2-Clause", bsd.format(third): "BSD-3-Clause"}
+    want |= {"\n".join(PASSAGES[n]): n for n in PASSAGES if n != "GNU"}  # those of GNU come from several texts
+    texts = list(want)
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(hard(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(want.values())
+    version3 = "\n".join([*PASSAGES["GNU"][:5], *PASSAGES["AGPL-3.0"]])
+    assert [r["licenses"] for r in licenses.scan_licenses(hard(spark, [(1, version3)])).collect()] == ["AGPL-3.0"]
+
+
 def test_license_windows_find_what_containment_finds():
     rng, scanner = random.Random(6), licenses.Scanner(licenses.TEMPLATES)
     for _ in range(200):

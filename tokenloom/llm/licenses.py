@@ -4,10 +4,14 @@ shingle containment verifies them.
 Signs count as spaces and A-Z as a-z. A template of m five-word shingles is looked for in windows of
 2 m shingles that start every m, so a whole occurrence lies in one window and a window that holds 0.8
 of it has a similarity of at least 0.8 m / (2 m + 0.2 m) > 0.36. With COORDS bands of one coordinate the
-chance to miss it is 0.64 ** 40 < 2e-8. Windows without any template's shingle can't match
-and aren't sketched. A licence is found where a window holds at least CONTAINED of a template, unless a better match in the
+chance to miss it is 0.64 ** 40 < 2e-8. Windows with fewer than CONTAINED times m shingles of the
+templates of their size can't match and aren't sketched. A licence is found where a window holds at least CONTAINED of a template, unless a better match in the
 document holds the same shingles.
 
+The templates are notices and the bodies of the licences in license_texts, in passages of up to 36 words,
+so a part of a licence that holds one of them is found too. A family (GPL, GNU, CC, ...) is named only if
+none of its versions is found.
+
 A null or empty text, or one of fewer words than a shingle, has no licence. Each row is scanned by
 itself, over its whole text; templates are a fixed list, so nothing grows with the data.
 """
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_view, ranges, shingles, words
+from .license_texts import PASSAGES
 from .sketch import sketch
 
 K, COORDS, CONTAINED = 5, 40, 0.8
@@ -45,7 +50,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name, text) for name, texts in PASSAGES.items() for text in texts),
 ]
+# names without a version, and how the names that tell more begin
+FAMILIES = {
+    "GNU": ("GPL", "LGPL", "AGPL"), "GPL": ("GPL-",), "LGPL": ("LGPL-",), "MPL": ("MPL-",), "EPL": ("EPL-",), "BSD": ("BSD-",), "CC": ("CC-",),
+}
 _STRIP = np.arange(256, dtype=np.uint8)
 _STRIP[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
@@ -70,6 +80,7 @@ class Scanner:
         if not self.size.all():
             raise ValueError(f"a template needs at least {K} words")
         self.all = np.unique(np.concatenate(self.sets))
+        self.of_size = {m: np.unique(np.concatenate([s for s in self.sets if len(s) == m])) for m in np.unique(self.size)}
         cut = np.concatenate([[0], np.cumsum(self.size)])
         self.coords = sketch(np.concatenate(self.sets), cut, COORDS)
 
@@ -83,27 +94,35 @@ class Scanner:
         hit = np.flatnonzero(self.all[p] == h)
         if not len(hit):
             return found
-        doc = np.searchsorted(at, hit, "right") - 1
-        matches: dict[int, list[tuple[float, int, set[int]]]] = {}
-        for m in np.unique(self.size):
-            place = (hit - at[doc]) // m  # a place is in the windows that start at its step and at the one before
+        matches: dict[int, dict[tuple[int, bytes], tuple[float, int, set[int]]]] = {}  # the same part of a template once
+        for m, of_size in self.of_size.items():
+            near = hit[np.isin(h[hit], of_size)]
+            doc = np.searchsorted(at, near, "right") - 1
+            place = (near - at[doc]) // m  # a place is in the windows that start at its step and at the one before
             key = np.unique(np.concatenate([doc * (1 << 40) + place, doc * (1 << 40) + np.maximum(place - 1, 0)]))
             d = key >> 40
             lo = at[d] + (key & ((1 << 40) - 1)) * m
             hi = np.minimum(lo + 2 * m, at[d + 1])
+            enough = np.searchsorted(near, hi) - np.searchsorted(near, lo) >= CONTAINED * m - 1e-9
+            d, lo, hi = d[enough], lo[enough], hi[enough]
+            if not len(d):
+                continue
             flat, size = h[ranges(lo, hi - lo)], hi - lo
             coords = sketch(flat, np.concatenate([[0], np.cumsum(size)]), COORDS)
             for t in np.flatnonzero(self.size == m):
                 for i in np.flatnonzero((coords == self.coords[t]).any(1)):
                     there = np.isin(self.sets[t], h[lo[i] : hi[i]])
                     if there.mean() >= CONTAINED:
-                        matches.setdefault(int(d[i]), []).append((float(there.mean()), int(t), set(self.sets[t][there].tolist())))
-        for doc_, all_ in matches.items():
+                        matches.setdefault(int(d[i]), {})[int(t), there.tobytes()] = (float(there.mean()), int(t), set(self.sets[t][there].tolist()))
+        for doc_, parts in matches.items():
+            all_ = list(parts.values())
             best = found.setdefault(doc_, {})
             for share, t, part in all_:
                 # versions of one notice differ in a word: what a better match explains doesn't count again
                 if not any(s > share and part <= p for s, _, p in all_):
                     best[self.names[t]] = max(best.get(self.names[t], 0.0), share)
+            for family in [n for n in best if n in FAMILIES and any(o.startswith(FAMILIES[n]) for o in best if o != n)]:
+                del best[family]
         return found
 
 
