@@ -288,6 +288,17 @@ def test_near_duplicates(spark, monkeypatch, size):
     assert got == brute_near(rows, 3, 85)
 
 
+def test_near_links_of_all_texts_of_one_id(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"{g}{rng.randrange(10**6)}" for _ in range(100)) for g in "abcd"]
+    near_copy = [t + " end" for t in base]
+    rows = [(1, base[0]), (1, base[1]), (1, base[2]), (11, near_copy[0]), (12, near_copy[1]), (13, near_copy[2])]
+    rows += [(20, base[3]), (21, base[3]), (21, "one more text of twenty one")]  # 21 is not the least id of its first text
+    for order in (rows, rows[::-1]):
+        got = near.near_duplicates(hard(spark, order)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (11, 1), (12, 1), (13, 1), (20, 20), (21, 20)}
+
+
 def test_near_rows(spark):
     got = near.near_duplicates(hard(spark)).collect()
     assert len(got) == len(HARD) and all(r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 5))

@@ -150,11 +150,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         now, held = None, {}
 
         def out() -> pa.RecordBatch:
-            """The task's links; held has each node's block and set once, however often its rows are repeated."""
-            nodes = sorted(held, key=lambda n: held[n][0])
-            left = 0 if now[1] == now[2] else sum(held[n][0] == now[1] for n in nodes)
-            whole = now[1] == now[2] or 0 < left < len(nodes)
-            found = _links([held[n][1] for n in nodes], percent, 100, left) if whole and len(nodes) > 1 else []
+            """The task's links; held has each distinct set of a node once, however often its rows are repeated."""
+            keys = sorted(held, key=lambda n: held[n])
+            left = 0 if now[1] == now[2] else sum(held[n] == now[1] for n in keys)
+            whole = now[1] == now[2] or 0 < left < len(keys)
+            found = _links([np.frombuffer(raw, U) for _, raw in keys], percent, 100, left) if whole and len(keys) > 1 else []
+            nodes = [n for n, _ in keys]
+            found = [(i, j) for i, j in found if nodes[i] != nodes[j]]
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
 
         for b in batches:
@@ -165,13 +167,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
                     if held:
                         yield out()
                     now, held = task, {}
-                held[node[i].as_py()] = (block[i].as_py(), np.frombuffer(sets[i].as_py(), U))
+                if raw := sets[i].as_py():
+                    held[node[i].as_py(), raw] = block[i].as_py()
         if held:
             yield out()
 
     ready = tasks.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(to_sets, "node long, cluster long, x int, y int, block int, set binary")
     links = ready.mapInArrow(confirm, "a long, b long")
-    roots = components(links)
+    # the classes that rows of one doc_id belong to are linked
+    real = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "s1", "s2")
+    many = real.groupBy("doc_id").agg(*(f("s" + i).alias(f.__name__ + i) for i in "12" for f in (F.min, F.max))).where("min1 <> max1 or min2 <> max2").select("doc_id")
+    same = real.join(many, "doc_id").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    roots = components(links.unionByName(same))
     several = classes.where("m > 1").select("s1", "s2", "node")
     named = sig.select("doc_id", "n_shingles", "s1", "s2").join(several, ["s1", "s2"], "left")
     node = F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id"))
