@@ -299,6 +299,16 @@ def test_near_links_of_all_texts_of_one_id(spark):
         assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (11, 1), (12, 1), (13, 1), (20, 20), (21, 20)}
 
 
+def test_near_stage_keeps_one_row_of_a_group(spark):
+    from tokenloom.llm import corpus
+
+    a, b, c, d = (" ".join(f"{g}{i}" for i in range(120)) for g in "abcd")
+    rows = [(5, a), (5, a), (9, a + " end"), (None, a), (None, b), (None, b), (7, c), (7, c), (8, d), (8, "another text"), (10, "lone"), (None, None)]
+    got = corpus.near_dedup_stage(spark, hard(spark, rows), "").select("doc_id", "text").collect()
+    want = [(5, a), (None, b), (7, c), (8, d), (8, "another text"), (10, "lone"), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_near_rows(spark):
     got = near.near_duplicates(hard(spark)).collect()
     assert len(got) == len(HARD) and all(r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 5))
