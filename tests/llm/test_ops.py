@@ -115,8 +115,10 @@ def test_pii_rows(spark):
 
 def test_suffix_arrays(monkeypatch):
     rng = np.random.default_rng(0)
-    for trial in range(600):
-        if trial == 300:
+    for trial in range(900):
+        if trial == 100:
+            monkeypatch.setattr(sais, "_SHORT", 1)  # induced sorting down to the end
+        if trial == 500:
             monkeypatch.setattr(sais, "_SMALL", 2)  # names as two digits
         t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(0, 80))).astype(np.uint8)
         if trial % 3 == 0:
@@ -141,12 +143,28 @@ def brute_repeats(texts, length=400):
                 hit[i : i + length] = True
         edges = np.diff(np.concatenate([[0], hit.astype(int)]))
         out.append((len(t), int(hit.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~hit])).hexdigest()))
-    return Counter(out)
+    return out
+
+
+def brute_passages(texts, length=50):
+    """Bytes and runs of words in passages that start at two places."""
+    found = [list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", t)) for t in texts]
+    tokens = [[m[0].lower() for m in f] for f in found]
+    count = Counter(tuple(w[i : i + length]) for w in tokens for i in range(len(w) - length + 1))
+    out = []
+    for f, w in zip(found, tokens):
+        hit = np.zeros(len(w) + 2, int)
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                hit[i + 1 : i + 1 + length] = 1
+        a, b = np.flatnonzero(np.diff(hit) == 1), np.flatnonzero(np.diff(hit) == -1)
+        out.append((sum(f[y - 1].end() - f[x].start() for x, y in zip(a, b)), len(a)))
+    return out
 
 
-@pytest.mark.parametrize("hot", [4000, 0])
-def test_repeats(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("many", [2000, 1])
+def test_repeats(spark, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)  # few: anchors are split by what comes next, down to whole strings
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdé ") for _ in range(7))
     base = "".join(word() for _ in range(300))
@@ -154,7 +172,8 @@ def test_repeats(spark, monkeypatch, hot):
     texts += [base[:n] + "!" + base[n:] for n in range(300, 1500, 37)]
     rows = [*HARD, *((100 + i, t) for i, t in enumerate(texts))]
     got = repeats.remove_repeats(hard(spark, rows)).collect()
-    assert Counter(tuple(r)[1:] for r in got) == brute_repeats([(t or "").encode() for _, t in rows])
+    raw = [(t or "").encode() for _, t in rows]
+    assert Counter(tuple(r)[1:] for r in got) == Counter(x + y for x, y in zip(brute_repeats(raw), brute_passages(raw)))
     cut = repeats.cut_repeats(hard(spark, rows))
     assert cut.count() == len(rows) and cut.columns == hard(spark, rows).columns
     assert repeats.remove_repeats(hard(spark, [])).count() == 0

@@ -86,6 +86,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Signs of ASCII as spaces, so that words are runs of letters and digits (and of other characters).
+SIGNS_OFF = np.arange(256, dtype=np.uint8)
+SIGNS_OFF[[b for b in range(128) if not chr(b).isalnum()]] = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -112,12 +115,18 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, off: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs without ASCII white space) and n + 1 offsets by document.
-    A-Z count as a-z. With a prefix, only so many bytes of each word count."""
+    A-Z count as a-z."""
+    return placed_words(data, off)[:2]
+
+
+def placed_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), with the bytes at which each word starts and ends."""
     n = len(data)
     if not n:
-        return np.zeros(0, U), np.zeros(len(off), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(len(off), np.int64), none, none
     data = _LOWER[data]
     inside = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
@@ -126,13 +135,11 @@ def words(data: np.ndarray, off: np.ndarray, prefix: int = 0) -> tuple[np.ndarra
     after = np.concatenate([inside[1:], [False]]) & ~cut[1:]
     s = np.flatnonzero(inside & ~before)
     e = np.flatnonzero(inside & ~after) + 1
-    if prefix:
-        e = np.minimum(e, s + prefix)
     p, inv = _powers(n)
     total = np.zeros(n + 1, U)
     np.cumsum(_BYTE[data] * p, out=total[1:])
     h = mix((total[e] - total[s]) * inv[s] + (e - s).astype(U) * _M1)
-    return h, np.searchsorted(s, off).astype(np.int64)
+    return h, np.searchsorted(s, off).astype(np.int64), s, e
 
 
 def shingles(w: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

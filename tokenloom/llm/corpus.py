@@ -36,7 +36,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; n_chars follows."""
+    """Passages of 50 words or more that occur elsewhere too are cut out of the texts; n_chars follows."""
     return with_length(repeats.cut_repeats(docs))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_view, ranges, shingles, words
+from .common import SIGNS_OFF, blocks, byte_view, ranges, shingles, words
 from .license_texts import PASSAGES
 from .sketch import sketch
 
@@ -56,13 +56,11 @@ TEMPLATES: list[tuple[str, str]] = [
 FAMILIES = {
     "GNU": ("GPL", "LGPL", "AGPL"), "GPL": ("GPL-",), "LGPL": ("LGPL-",), "MPL": ("MPL-",), "EPL": ("EPL-",), "BSD": ("BSD-",), "CC": ("CC-",),
 }
-_STRIP = np.arange(256, dtype=np.uint8)
-_STRIP[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 def _shingled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Five-word shingles; none of shorter texts."""
-    w, woff = words(_STRIP[data], off)
+    w, woff = words(SIGNS_OFF[data], off)
     size = np.diff(woff)
     if ((size > 0) & (size < K)).any():
         keep = np.repeat(size >= K, size)

@@ -1,64 +1,89 @@
 """Operator 2: exact repeated substrings, by suffix arrays over shards.
 
-A byte is repeated if a string of `length` bytes that covers it starts at a second place of the
-corpus, in the same document or another. Each such string holds an anchor: of the ANCHOR-byte
-windows inside it the one with the least hash (the first among equals), which depends on the string
-alone. The strings with one anchor start side by side; they span the anchor's piece of text. So
-
-1. anchors are counted over all texts (8 bytes of hash each, pre-aggregated);
-2. occurrences of anchors that occur twice are kept with a hash of their piece. Equal pieces are
-   repeated throughout;
-3. where one anchor has several pieces, one occurrence of each goes, as bytes, to the shard of
-   its anchor. There the anchor itself, which is the same in all of them, is one symbol. Each shard's
-   suffix array is built by induced sorting; where the permuted common prefixes reach a string's length,
-   neighbouring suffixes are one string, and strings of two places mark their bytes.
-
-An anchor with more than HOT pieces is settled without holding them: the hashes (128 bits) of
-all its strings are counted. Anchors are 64-bit hashes, pieces 128-bit ones with the anchor.
-Documents are known by 128-bit keys of their texts, so copies are handled once and repeated rows,
-missing or repeated doc_ids need no care. Bloom filters of bounded size keep rows that can't match
-out of shuffles; they drop nothing else.
-
-Null and empty texts have no bytes; texts shorter than `length` are never touched.
+A symbol (a byte, or a word) is repeated if a string of `length` symbols that covers it starts at a
+second place of the corpus, in the same document or another. Each such string holds an anchor: of the
+windows of `anchor` symbols inside it the one with the least hash (the first among equals), which depends on
+the string alone. The strings with one anchor start side by side; they span the anchor's piece of text. So
+
+1. anchors are counted over all texts (8 bytes of hash each, pre-aggregated), and occurrences of
+   anchors that occur twice are kept, with a 128-bit hash of their piece;
+2. equal pieces are one class, known by its first and last place. Both places go, as text, to the shard of the
+   anchor, together with the other classes of the anchor. So what is equal is settled there, not by hashes;
+3. in a shard the anchor, which is the same in all of its pieces (its bytes are compared), is one symbol.
+   The suffix array is built by induced sorting; where the permuted common prefixes reach a string's length,
+   neighbouring suffixes are one string, and strings of two places mark their symbols;
+4. what is marked in a class holds for all of its places.
+
+The pieces of an anchor share a shard. An anchor that would be too many for one (a passage inside many
+different texts) is split by the symbols that come next: its strings that go on far to the right get a
+longer anchor that reaches to the right, the others one that reaches to the left, and so on (see _longer);
+at the last step an anchor is a whole string and all its pieces are equal. Every step treats all strings.
+
+Documents are known by 128-bit keys of their texts, so copies are handled once (all of a text that is
+there twice is repeated), and repeated rows, missing or repeated doc_ids need no care. Bloom filters of
+bounded size keep rows that can't match out of shuffles; they drop nothing else.
+
+Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased, known by 64-bit hashes.
+Null and empty texts have no symbols; texts shorter than `length` are never touched.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Bloom, U, _M1, _M2, _M3, blocks, byte_view, i64, materialize, mix, ranges, text_keys
-from .sais import common_prefixes, suffix_array
+from .common import _BYTE, SIGNS_OFF, Bloom, U, _M1, _M2, _M3, blocks, byte_view, i64, materialize, mix, placed_words, ranges, text_keys
+from .sais import common_prefixes, suffix_array, wide_suffix_array
 
-LENGTH, ANCHOR = 400, 256
-SHARD_BYTES, HOT = 1 << 19, 4000
+#: Symbols of a shard, and pieces of one anchor that a shard takes; more are split by what comes next.
+SHARD_SYMBOLS, MANY = 1 << 19, 2000
 _MUL = [_M1, _M2, _M3, U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
-_SECOND = np.random.default_rng(20240502).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
-def _doubling(h: np.ndarray, upto: int, keep: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Hashes of all windows of the sizes in keep, which are powers of two up to upto."""
-    out, size, k = {}, 1, 0
-    while True:
-        if size in keep:
-            out[size] = h
-        if size >= upto:
-            return out
-        h = h[:-size] * _MUL[k] + h[size:]
-        size, k = size * 2, k + 1
+@dataclass(frozen=True)
+class Grain:
+    """What strings are made of, how long they are, and the length of their anchors (a power of two)."""
 
+    unit: str
+    length: int
+    anchor: int
 
-def _window(h: dict[int, np.ndarray], size: int) -> np.ndarray:
-    """Hashes of all windows of a size from those of a power of two of at least half of it."""
-    p = max(x for x in h if x <= size)
-    a = h[p]
-    n = len(a) - (size - p)
-    return mix(a[:n] * _M1 + mix(a[size - p : size - p + n]))
+    def __post_init__(self) -> None:
+        if not self.anchor < self.length <= 2 * self.anchor:
+            raise ValueError("length must be over anchor and at most twice as much")
+
+    @property
+    def width(self) -> int:
+        """Bytes of a symbol."""
+        return 1 if self.unit == "bytes" else 8
+
+    def symbols(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of the symbols, and n + 1 offsets by document."""
+        return (_BYTE[data], off) if self.unit == "bytes" else placed_words(SIGNS_OFF[data], off)[:2]
+
+    def raw(self, text: bytes) -> bytes:
+        """A text as symbols of `width` bytes."""
+        if self.unit == "bytes":
+            return text
+        data = np.frombuffer(text, np.uint8)
+        return placed_words(SIGNS_OFF[data], np.array([0, len(data)]))[0].tobytes()
+
+
+BYTES = Grain("bytes", 400, 256)
+PASSAGE = Grain("words", 50, 32)
+
+
+def _doubling(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of size symbols, a power of two."""
+    for k in range(size.bit_length() - 1):
+        h = h[: -(1 << k)] * _MUL[k] + h[1 << k :]
+    return h
 
 
 def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -71,25 +96,26 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray
     return op(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchors(h: np.ndarray, off: np.ndarray, grain: Grain) -> tuple[np.ndarray, ...]:
     """Anchors of a block of documents: (document, first start, last start, anchor's place, anchor's
     hash, piece's hash). The strings of one anchor start from first to last."""
+    length, anchor = grain.length, grain.anchor
     size = np.diff(off)
     doc = np.flatnonzero(size >= length)
     if not len(doc):
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, U), np.zeros(0, U)
-    g = _doubling(_BYTE[data], ANCHOR, (ANCHOR,))[ANCHOR]
+    g = _doubling(h, anchor)
     # hash above, place below: the least is the first of the least; 32 bits decide alike everywhere
     order = (mix(g) & U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=U)
-    chosen = (_sliding(order, length - ANCHOR + 1, np.minimum, U(0xFFFFFFFFFFFFFFFF)) & U(0xFFFFFFFF)).astype(np.int64)
+    chosen = (_sliding(order, length - anchor + 1, np.minimum, U(0xFFFFFFFFFFFFFFFF)) & U(0xFFFFFFFF)).astype(np.int64)
     starts = ranges(off[doc], size[doc] - length + 1)
     at = chosen[starts]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     first, last, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], at[new]
     which = np.searchsorted(off, first, "right") - 1
     end = last + length
-    piece = mix(g[first] * _M1 + mix(g[end - ANCHOR] * _M2 + mix(g[(first + end - ANCHOR) // 2] + (end - first).astype(U) * _M3)) + (at - first).astype(U))
+    piece = mix(g[first] * _M1 + mix(g[end - anchor] * _M2 + mix(g[(first + end - anchor) // 2] + (end - first).astype(U) * _M3)) + (at - first).astype(U))
     base = off[which]
     return which, first - base, last - base, at - base, mix(g[at] ^ _M1), piece
 
@@ -98,23 +124,20 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*text_keys(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """docs (text) -> h1, h2 (the text's key), spans array<struct<a, b>>: its repeated bytes, in pieces that may overlap."""
-    if not ANCHOR < length <= 2 * ANCHOR:
-        raise ValueError(f"length must be over {ANCHOR} and at most {2 * ANCHOR}")
-    spark = docs.sparkSession
+def repeated_spans(docs: DataFrame, grain: Grain = BYTES, text: str = "text") -> DataFrame:
+    """docs (text) -> h1, h2 (the text's key), spans array<struct<a, b>>: its repeated symbols, in runs that may overlap."""
     source = _texts(docs, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = byte_view(b.column(0))
-            parts = [anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)[4] for lo, hi in blocks(off)]
+            parts = [anchors(*grain.symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), grain)[4] for lo, hi in blocks(off)]
             h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U), return_counts=True)
             yield pa.RecordBatch.from_arrays([i64(h), i64(n)], ["anchor", "n"])
 
     counted = source.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     twice = materialize(counted.where("n > 1").select("anchor"), "anchors")
-    may = spark.sparkContext.broadcast(Bloom.build(twice, "anchor").bits)
+    may = docs.sparkSession.sparkContext.broadcast(Bloom.build(twice, "anchor").bits)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(may.value)
@@ -122,7 +145,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
             h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, off = byte_view(b.column(2))
             for lo, hi in blocks(off):
-                d, first, last, at, a, c = anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)
+                d, first, last, at, a, c = anchors(*grain.symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), grain)
                 hit = bloom.contains(a)
                 d = d[hit] + lo
                 short = [pa.array(x[hit].astype(np.int32)) for x in (first, last, at)]
@@ -130,17 +153,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
 
     found = source.mapInArrow(occurrences, "anchor long, piece long, h1 long, h2 long, first int, last int, at int")
     found = materialize(found.groupBy("anchor", "piece", "h1", "h2", "first", "last", "at").agg(F.count("*").alias("n")), "occurrences")
-    classes = materialize(found.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "first", "last", "at")).alias("one")), "classes")
-    whole = found.join(classes.where("n > 1").select("anchor", "piece"), ["anchor", "piece"]).select("h1", "h2", F.col("first").cast("long").alias("a"), (F.col("last").cast("long") + length).alias("b"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    chosen = materialize(classes.join(several, "anchor").select("anchor", "one.*", (F.col("m") > HOT).alias("hot")), "chosen")
+    place = F.struct("h1", "h2", "first", "last", "at")
+    classes = materialize(_chosen(found.groupBy("anchor", "piece").agg(F.count("*").alias("m"), F.min(place).alias("one"), F.max(place).alias("two"))), "classes")
+    runs = _runs(materialize(_cut(source, classes, grain), "pieces"), grain)
+    long = lambda c: F.col(c).cast("long")
+    marked = found.join(runs, ["anchor", "piece"]).select("h1", "h2", (long("first") + F.col("a")).alias("a"), (long("first") + F.col("b")).alias("b"))
+    copied = found.where("n > 1").select("h1", "h2", long("first").alias("a"), (long("last") + grain.length).alias("b"))
+    return materialize(marked.unionByName(copied).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+
+
+def _chosen(classes: DataFrame, last: bool = False) -> DataFrame:
+    """The classes (anchor, piece, m, one, two) of anchors that have two places, with many: does the
+    anchor have more than MANY classes? At the last step it has one."""
+    per = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.max("m").alias("most")).where("k > 1 or most > 1")
+    return classes.join(per, "anchor").select("anchor", "piece", "one", "two", (F.lit(not last) & (F.col("k") > MANY)).alias("many"))
 
-    # the bytes of the chosen pieces; a text that is there many times is sent once per task
-    near = Bloom.build(chosen, "h1")
-    may_have = spark.sparkContext.broadcast(near.bits)
+
+def _cut(source: DataFrame, classes: DataFrame, grain: Grain) -> DataFrame:
+    """The text of the first and the last place of each class: anchor, piece, many, h1, h2, a, left, raw."""
+    places = classes.select("anchor", "piece", "many", F.explode(F.array_distinct(F.array("one", "two"))).alias("x")).select("anchor", "piece", "many", "x.*")
+    may = source.sparkSession.sparkContext.broadcast(Bloom.build(places, "h1").bits)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, seen = Bloom(may_have.value), set()
+        """A text that is there many times is sent once per task."""
+        bloom, seen = Bloom(may.value), set()
         for b in batches:
             h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             keep = bloom.contains(h1)
@@ -151,73 +187,119 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
             yield b.filter(pa.array(keep))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, w = None, grain.width
         for b in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             for i in range(b.num_rows):
                 h1, h2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 if (h1, h2) == last:
                     continue
                 last = h1, h2
-                raw = b.column(2)[i].as_py().encode()
+                raw = grain.raw(b.column(2)[i].as_py().encode())
                 for x in b.column(3)[i].as_py():
-                    a, at = x["first"], x["at"]
-                    piece = raw[a:at] + raw[at + ANCHOR : x["last"] + length]
-                    for column, v in zip(out, (x["anchor"], h1, h2, a, at - a, piece, x["hot"])):
+                    a = x["first"]
+                    for column, v in zip(out, (x["anchor"], x["piece"], x["many"], h1, h2, a, x["at"] - a, raw[a * w : (x["last"] + grain.length) * w])):
                         column.append(v)
-            types = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["anchor", "h1", "h2", "a", "left", "bytes", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PIECE.types)], names=_PIECE.names)
 
-    need = chosen.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "hot")).alias("places"))
+    need = places.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "piece", "many", "first", "last", "at")).alias("places"))
     texts = source.mapInArrow(once, source.schema).join(need, ["h1", "h2"])
-    schema = "anchor long, h1 long, h2 long, a long, left long, bytes binary, hot boolean"
-    pieces = materialize(texts.select("h1", "h2", "text", "places").mapInArrow(cut, schema), "pieces")
-    total, hot = pieces.agg(F.coalesce(F.sum(F.octet_length("bytes") + 2), F.lit(0)), F.coalesce(F.bool_or("hot"), F.lit(False))).first()
+    return texts.select("h1", "h2", "text", "places").mapInArrow(cut, "anchor long, piece long, many boolean, h1 long, h2 long, a long, left long, raw binary")
+
+
+_PIECE = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("many", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("left", pa.int64()), ("raw", pa.binary())])
+
+
+def _runs(pieces: DataFrame, grain: Grain) -> DataFrame:
+    """What is repeated in each class (anchor, piece) of pieces: runs a, b from the piece's start."""
+    spark = pieces.sparkSession
+    total, many = pieces.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)), F.coalesce(F.bool_or("many"), F.lit(False))).first()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns[:6])):
-                if size >= SHARD_BYTES and row[0] != last:  # all pieces of an anchor share a shard
-                    yield _shard(held, length)
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if size >= SHARD_SYMBOLS and row[0] != last:  # all pieces of an anchor share a shard
+                    yield _shard(held, grain)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5]) + 2
+                size += len(row[6]) // grain.width - grain.anchor + 2
                 last = row[0]
         if held:
-            yield _shard(held, length)
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * SHARD_BYTES)))
-    cold = pieces.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    result = whole.unionByName(cold.mapInArrow(shards, "h1 long, h2 long, a long, b long"))
-    if hot:
-        strings = materialize(pieces.where("hot").mapInArrow(lambda x: _strings(x, length), "anchor long, w1 long, w2 long, h1 long, h2 long, a long"), "strings")
-        place, key = F.struct("h1", "h2", "a"), ["anchor", "w1", "w2"]
-        again = strings.groupBy(*key).agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select(*key)
-        result = result.unionByName(strings.join(again, key, "left_semi").select("h1", "h2", "a", (F.col("a") + length).alias("b")))
-    return materialize(result.groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-
-
-def _symbols(raw: bytes, left: int, anchor: int) -> np.ndarray:
-    """A piece with its anchor as one symbol, and 255, which no UTF-8 holds, at its end."""
-    t = np.empty(len(raw) + 2, np.int32)
-    b = np.frombuffer(raw, np.uint8)
-    t[:left], t[left], t[left + 1 : -1], t[-1] = b[:left], anchor, b[left:], 255
-    return t
-
-
-def _shard(held: list[tuple], length: int) -> pa.RecordBatch:
-    """Spans of the strings that start at two places, of pieces (anchor, h1, h2, a, left, bytes)."""
-    need = length - ANCHOR + 1  # a string's length, with its anchor as one symbol
-    groups: dict[int, int] = {}
+            yield _shard(held, grain)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * SHARD_SYMBOLS * grain.width)))
+    few = pieces.where("not many").drop("many").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    runs = few.mapInArrow(shards, "anchor long, piece long, a long, b long")
+    if not many:
+        return runs
+    longer = replace(grain, anchor=grain.anchor + (grain.length - grain.anchor + 1) // 2) if grain.anchor < grain.length - 1 else _Whole(grain.unit, grain.length, grain.length)
+    schema = "anchor long, piece long, h1 long, h2 long, a long, left long, raw binary, up_anchor long, up_piece long, shift long"
+    parts_of = materialize(pieces.where("many").mapInArrow(lambda x: _longer(x, grain, longer.anchor), schema), "longer")
+    place = F.struct("h1", "h2", "a", "left", "raw")
+    classes = parts_of.groupBy("anchor", "piece").agg(F.count_distinct("h1", "h2", "a").alias("m"), F.min(place).alias("one"), F.max(place).alias("two"))
+    chosen = _chosen(classes, longer.anchor == grain.length).select("anchor", "piece", "many", F.explode(F.array_distinct(F.array("one", "two"))).alias("x")).select("anchor", "piece", "many", "x.*")
+    below = _runs(materialize(chosen, "pieces"), longer)
+    up = parts_of.select("anchor", "piece", "up_anchor", "up_piece", "shift").distinct()
+    lifted = below.join(up, ["anchor", "piece"]).select(F.col("up_anchor").alias("anchor"), F.col("up_piece").alias("piece"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
+    return runs.unionByName(lifted)
+
+
+class _Whole(Grain):
+    """The last step: an anchor is a whole string."""
+
+    def __post_init__(self) -> None:
+        pass
+
+
+def _longer(batches: Iterator[pa.RecordBatch], grain: Grain, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Pieces cut in two with longer anchors: strings that start near the anchor go on to its right, the
+    others begin to its left. Every string of the piece is in one of the two."""
+    w, more = grain.width, anchor - grain.anchor
+    digest = lambda x, n: int.from_bytes(hashlib.blake2b(x, digest_size=n).digest(), "little", signed=True)
+    names = ["anchor", "piece", "h1", "h2", "a", "left", "raw", "up_anchor", "up_piece", "shift"]
+    for b in batches:
+        out: list[list] = [[] for _ in names]
+        for up_anchor, up_piece, _, h1, h2, a, left, raw in zip(*(c.to_pylist() for c in b.columns)):
+            last = len(raw) // w - grain.length  # starts are 0 .. last, the anchor's is left
+            right = (max(0, left + anchor - grain.length), min(last, left), left)
+            before = (max(0, left + grain.anchor - grain.length), min(last, left - more), left - more)
+            for lo, hi, at in (right, before):
+                if lo > hi:
+                    continue
+                part = raw[lo * w : (hi + grain.length) * w]
+                key = raw[at * w : (at + anchor) * w]
+                row = (digest(key, 8), digest(part + bytes([at - lo & 255, at - lo >> 8]), 8), h1, h2, a + lo, at - lo, part, up_anchor, up_piece, lo)
+                for column, v in zip(out, row):
+                    column.append(v)
+        types = [pa.int64()] * 6 + [pa.binary()] + [pa.int64()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+
+
+def _shard(held: list[tuple], grain: Grain) -> pa.RecordBatch:
+    """Runs of the strings that start at two places, of pieces (anchor, piece, h1, h2, a, left, raw)."""
+    need = grain.length - grain.anchor + 1  # a string's length, with its anchor as one symbol
+    w, width = grain.width, grain.anchor * grain.width
+    same: dict[bytes, int] = {}
     documents: dict[tuple[int, int], int] = {}
-    t = np.concatenate([_symbols(x[5], x[4], 256 + groups.setdefault(x[0], len(groups))) for x in held])
-    size = np.array([len(x[5]) + 2 for x in held])
+    anchor = np.array([same.setdefault(x[6][x[5] * w : x[5] * w + width], len(same)) for x in held])
+    size = np.array([len(x[6]) // w - grain.anchor + 2 for x in held])  # the anchor, and an end, are a symbol each
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    doc = np.array([documents.setdefault(x[1:3], len(documents)) for x in held])
-    first = np.array([x[3] for x in held])
-    sa = suffix_array(t, 256 + len(groups))
+    first, left = np.array([x[4] for x in held]), np.array([x[5] for x in held])
+    rest = np.frombuffer(b"".join([part for x in held for part in (x[6][: x[5] * w], x[6][x[5] * w + width :])]), np.uint8 if w == 1 else U)
+    letters = 256
+    if w > 1:
+        values, rest = np.unique(rest, return_inverse=True)
+        letters = len(values) + 1
+    t = np.empty(int(size.sum()), np.int32)
+    plain = np.ones(len(t), bool)
+    plain[begin + left] = plain[begin + size - 1] = False
+    t[plain] = rest
+    t[begin + left] = letters + anchor
+    t[begin + size - 1] = letters - 1  # no UTF-8 holds 255
+    sa = suffix_array(t, letters + len(same)) if w == 1 else wide_suffix_array(t, letters + len(same))
     prefix = common_prefixes(t, sa, int(size.max()), begin)
+    doc = np.array([documents.setdefault(x[2:4], len(documents)) for x in held])
     piece = np.repeat(np.arange(len(held)), size)
     inside = np.arange(len(t)) - begin[piece]
     place = (doc[piece] << 32) | (first[piece] + inside)
@@ -229,28 +311,19 @@ def _shard(held: list[tuple], length: int) -> pa.RecordBatch:
     p = place[ordered]
     several = np.minimum.reduceat(p, run) != np.maximum.reduceat(p, run) if len(run) else np.zeros(0, bool)
     at = np.sort(ordered[np.repeat(several, np.diff(np.append(run, len(ordered))))])
+    keys, once, told = [], np.zeros(len(held), bool), set()
+    for i, x in enumerate(held):  # both places of a class say the same
+        keys.append(x[:2])
+        once[i] = x[:2] not in told
+        told.add(x[:2])
+    at = at[once[piece[at]]]
     if len(at):
         cut = np.concatenate([[True], piece[at[1:]] != piece[at[:-1]]])  # within a piece all strings overlap
         lo, hi = at[cut], at[np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1)]
     else:
         lo = hi = at
-    k = piece[lo]
-    keys = np.array([x[1:3] for x in held], np.int64).reshape(-1, 2)[k]
-    return pa.RecordBatch.from_arrays([i64(keys[:, 0]), i64(keys[:, 1]), i64(first[k] + inside[lo]), i64(first[k] + inside[hi] + length)], ["h1", "h2", "a", "b"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of all strings of the given length in the pieces, with their places."""
-    need = length - ANCHOR + 1
-    top = 1 << (need.bit_length() - 1)
-    first, second = (np.append(x, x[0] ^ _M2) for x in (_BYTE, _SECOND))
-    for b in batches:
-        for anchor, h1, h2, a, left, raw in zip(*(c.to_pylist() for c in b.columns[:6])):
-            t = _symbols(raw, left, 256)[:-1]
-            w1, w2 = (_window(_doubling(table[t], top, (top,)), need) for table in (first, second))
-            m = len(w1)
-            same = [pa.array(np.full(m, v, np.int64)) for v in (anchor, h1, h2)]
-            yield pa.RecordBatch.from_arrays([same[0], i64(w1), i64(w2), *same[1:], i64(a + np.arange(m))], ["anchor", "w1", "w2", "h1", "h2", "a"])
+    k = np.array(keys, np.int64).reshape(-1, 2)[piece[lo]]
+    return pa.RecordBatch.from_arrays([i64(k[:, 0]), i64(k[:, 1]), i64(inside[lo]), i64(inside[hi] + grain.length)], ["anchor", "piece", "a", "b"])
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -264,6 +337,17 @@ def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
     return out
 
 
+def in_bytes(raw: bytes, spans: list[dict] | None, grain: Grain) -> list[tuple[int, int]]:
+    """Disjoint runs of repeated bytes of a text, of its spans of symbols; a run of words is from the
+    first one's start to the last one's end."""
+    if not spans:
+        return []
+    if grain.unit == "bytes":
+        return merged(spans, len(raw))
+    _, _, start, end = placed_words(SIGNS_OFF[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
+    return [(int(start[a]), int(end[b - 1])) for a, b in merged(spans, len(start))]
+
+
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in runs:
@@ -272,44 +356,49 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs as (row struct, h1, h2), in two parts: rows whose text has spans (with them), and the others.
-    The others, most of a corpus, aren't shuffled. Columns of docs can't clash, as they are in row."""
+def with_spans(docs: DataFrame, spans: list[DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """docs as (row struct, h1, h2), in two parts: rows whose text has spans (with them: spans0, ...), and the
+    others. The others, most of a corpus, aren't shuffled. Columns of docs can't clash, as they are in row."""
     keyed = docs.select(F.struct("*").alias("row"), *text_keys(text))
-    may = Bloom.build(spans, "h1")
-    hit = may.keep(keyed, "h1").join(spans, ["h1", "h2"], "left")
+    both = None
+    for i, s in enumerate(spans):
+        s = s.withColumnRenamed("spans", f"spans{i}")
+        both = s if both is None else both.join(s, ["h1", "h2"], "full")
+    may = Bloom.build(both, "h1")
+    hit = may.keep(keyed, "h1").join(both, ["h1", "h2"], "left")
     return hit, may.keep(keyed, "h1", negate=True)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, grain: Grain = BYTES, passage: Grain = PASSAGE, text: str = "text") -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 by grain; passage_bytes and
+    n_passages: the bytes and maximal runs of words that are in passages which occur elsewhere too."""
     docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hit, rest = with_spans(docs, repeated_spans(docs, length))
+    hit, rest = with_spans(docs, [repeated_spans(docs, grain), repeated_spans(docs, passage)])
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, removed, runs_of, kept = [], [], [], []
-            for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out: list[list] = [[] for _ in names[1:]]
+            for t, s, p in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 raw = t.encode()
-                runs = merged(s or [], len(raw))
-                n.append(len(raw))
-                removed.append(sum(y - x for x, y in runs))
-                runs_of.append(len(runs))
-                kept.append(hashlib.sha256(without(raw, runs)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, runs_of)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    changed = hit.select("row.doc_id", "row.text", "spans").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                runs, passages = in_bytes(raw, s, grain), in_bytes(raw, p, passage)
+                kept = hashlib.sha256(without(raw, runs)).hexdigest()
+                for column, v in zip(out, (len(raw), sum(y - x for x, y in runs), len(runs), kept, sum(y - x for x, y in passages), len(passages))):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string() if i == 3 else pa.int64()) for i, x in enumerate(out))], names)
+
+    changed = hit.select("row.doc_id", "row.text", "spans0", "spans1").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
     zero = F.lit(0).cast("long")
-    same = rest.select("row.doc_id", F.octet_length("row.text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("row.text", 256).alias("kept_sha256"))
+    same = rest.select("row.doc_id", F.octet_length("row.text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("row.text", 256).alias("kept_sha256"), zero.alias("passage_bytes"), zero.alias("n_passages"))
     return changed.unionByName(same)
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """docs with the repeated bytes cut out of the text; a character is cut only as a whole. Other
-    columns stay; null stays null."""
+def cut_repeats(docs: DataFrame, grain: Grain = PASSAGE, text: str = "text") -> DataFrame:
+    """docs with what is repeated cut out of the text, wherever it occurs; of characters only whole ones.
+    Other columns stay; null stays null."""
     columns = docs.columns
-    hit, rest = with_spans(docs, repeated_spans(docs, length, text), text)
+    hit, rest = with_spans(docs, [repeated_spans(docs, grain, text)], text)
     at = columns.index(text)
     schema = docs.schema
 
@@ -320,7 +409,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> Da
                 if t is not None and s:
                     raw = t.encode()
                     runs = []
-                    for x, y in merged(s, len(raw)):
+                    for x, y in in_bytes(raw, s, grain):
                         while x < y and raw[x] & 0xC0 == 0x80:
                             x += 1
                         while y > x and y < len(raw) and raw[y] & 0xC0 == 0x80:
@@ -331,4 +420,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> Da
             cols[at] = pa.array(new, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return hit.select("row", "spans").mapInArrow(rows, schema).unionByName(rest.select("row.*"))
+    return hit.select("row", "spans0").mapInArrow(rows, schema).unionByName(rest.select("row.*"))

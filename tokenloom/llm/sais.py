@@ -5,7 +5,8 @@ unsorted places, the LMS substrings are named and, unless the names are unique,
 is sorted recursively; then the whole array is induced from the sorted LMS suffixes. Within a
 bucket the scan only appends to the same or to later buckets, so each bucket is handled in a few
 vector steps. The string of names may have a large alphabet: then each name is written as two
-digits, which keeps the order of suffixes, and the recursion has few buckets again.
+digits, which keeps the order of suffixes, and the recursion has few buckets again. Deep in the
+recursion, where strings are short and many levels would follow, they are sorted by doubling prefixes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import numpy as np
 
 from .common import ranges
 
-_SMALL = 4096
+#: Alphabets over _SMALL are written as two digits; strings of at most _SHORT symbols end the recursion.
+_SMALL, _SHORT = 256, 1 << 14
 
 
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
@@ -22,6 +24,8 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n, dtype=np.int64)
+    if n <= _SHORT:
+        return _short(t)
     k = int(t.max()) + 1 if k is None else k
     t = t.astype(np.uint8 if k <= 1 << 8 else np.uint16 if k <= 1 << 16 else np.int64)  # short ones sort by radix
     is_s = _types(t)
@@ -35,14 +39,7 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
         lms_sorted = sa[is_lms[sa]]
         names, count = _names(t, lms, lms_sorted)
         if count < m:
-            if count <= _SMALL:
-                order = suffix_array(names, count)
-            else:
-                base = int(np.ceil(np.sqrt(count)))
-                digits = np.empty(2 * m, np.int64)
-                digits[0::2], digits[1::2] = names // base, names % base
-                order = suffix_array(digits, base)
-                order = order[order % 2 == 0] // 2
+            order = suffix_array(names, count) if count <= _SMALL else wide_suffix_array(names, count)
         else:
             order = np.empty(m, np.int64)
             order[names] = np.arange(m)
@@ -50,6 +47,32 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     return buckets.induce(lms, first=False)
 
 
+def _short(t: np.ndarray) -> np.ndarray:
+    """Suffix array of a short string: ranks of prefixes of doubling length."""
+    n, size = len(t), 1
+    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    while True:
+        key = rank * (n + 1)
+        key[:-size] += rank[size:] + 1
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
+        rank[order] = new
+        size *= 2
+        if new[-1] == n - 1:
+            return order
+        if size >= n:
+            raise AssertionError("suffixes are distinct")
+
+
+def wide_suffix_array(t: np.ndarray, k: int) -> np.ndarray:
+    """Suffix array over a large alphabet: each symbol as two digits, of which only the first starts a suffix."""
+    base = max(2, int(np.ceil(np.sqrt(k))))
+    digits = np.empty(2 * len(t), np.int64)
+    digits[0::2], digits[1::2] = t // base, t % base
+    order = suffix_array(digits, base)
+    return order[order % 2 == 0] // 2
+
+
 def _types(t: np.ndarray) -> np.ndarray:
     """Is each suffix S (smaller than the next one)? The last one is L: the end sorts before all."""
     n = len(t)
