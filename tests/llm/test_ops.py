@@ -99,6 +99,31 @@ def test_pii_gates_hide_no_disguise(monkeypatch):
     assert gated == [pii.find(t) for t in texts]
 
 
+@pytest.mark.parametrize("part", ["a dot ", "a.", "x at ", "x (at) ", "one ", "one, 2-", "1.2.", "+1 (", "double ", "plus ", "[dot]", "1 ", "é dot ", "@", "a@b.", "one two x "])
+def test_pii_is_linear(part):
+    import time
+
+    text = part * (200_000 // len(part))
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 8  # a quadratic step takes minutes
+
+
+def test_pii_spans_of_planted_disguises():
+    """Recall and exact spans over identifiers at known places in prose."""
+    rng = random.Random(11)
+    filler = "the report of last week was sent to all and read by none of them".split()
+    said, exact, n = 0, 0, 0
+    for t, kind in disguises():
+        before, after = " ".join(rng.choices(filler, k=9)) + ": ", "; " + " ".join(rng.choices(filler, k=9))
+        spans = pii.find(before + t + after)[1][kind]
+        a, b = len(before), len(before) + len(t)
+        n += 1
+        said += any(x < b and y > a for x, y in spans)
+        exact += (a, b) in spans
+    assert said / n >= 0.97 and exact / n >= 0.9
+
+
 def test_pii_words_that_are_digits_only_among_others():
     assert not any(pii.find("oh " * 16)[1].values()) and not any(pii.find("null," * 16)[1].values())
 
@@ -424,6 +449,37 @@ def test_quality(spark, sf):
     assert len(quality.score(hard(spark), model).collect()) == len(HARD)
 
 
+def test_quality_gradient():
+    rng = np.random.default_rng(3)
+    d, c, x = np.repeat(np.arange(6), 4), rng.integers(0, 5, 24), rng.normal(size=24)
+    y, weight = np.array([0, 1, 2, 2, 1, 0]), rng.random(6) + 0.5
+    w, theta = rng.normal(size=5), np.array([-0.3, 0.2])
+    _, gw, gt = quality.gradient(w, theta, d, c, x, y, weight)
+    step = 1e-6
+    for par, got in ((w, gw), (theta, gt)):
+        for i in range(len(par)):
+            up, down = par.copy(), par.copy()
+            up[i] += step
+            down[i] -= step
+            f = lambda p: quality.gradient(*(p if q is par else q for q in (w, theta)), d, c, x, y, weight)[0]  # noqa: B023, E731
+            assert abs((f(up) - f(down)) / (2 * step) - got[i]) < 1e-6
+
+
+def test_quality_held_out(spark, monkeypatch):
+    """Trained on labels of three quarters of the documents; the others are told well."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    model = quality.train(docs, labels.where("doc_id % 4 <> 1"))
+    got = quality.score(docs.select("doc_id", "text"), model).join(labels.where("doc_id % 4 = 1"), "doc_id").collect()
+    bad = [r["toxic"] == 1 or r["quality"] == 0 for r in got]
+    assert np.mean([(r["p_good"] < 0.5) == b for r, b in zip(got, bad)]) > 0.85
+    clash = docs.select("doc_id", "text").withColumns({n: F.lit("mine") for n in quality.NAMES})
+    assert quality.score(clash, model).columns == ["doc_id", "text", *quality.NAMES]
+    good = quality.select_good(clash, model)
+    assert good.columns == clash.columns and 0 < good.count() < docs.count()
+    monkeypatch.setattr(quality, "SAMPLE", 1)
+    assert quality.train(docs, labels.where("doc_id < 0").union(labels)) is not None
+
+
 # --- pipeline ---
 
 

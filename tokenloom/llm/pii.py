@@ -8,7 +8,9 @@ normalised text maps back to the source. Only spans that a rewriting took part i
 are valid by the stricter rules in `_found`, and that touch no base span are added.
 
 A null or empty text has no spans. Offsets are code points, ends exclusive. Rows are handled one by
-one, so repeated rows and ties need no care; memory is bounded by the longest text.
+one, so repeated rows and ties need no care; memory is bounded by the longest text (16 bytes a
+character where something was rewritten), and time grows with its length: a chain of words and disguised
+dots is walked once, repeats are possessive.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,39 +97,42 @@ class Tape:
 
     def __init__(self, text: str):
         self.text = text
-        self.start: list[int] = []  # both are filled at the first rewriting
-        self.end: list[int] = []
+        self.start = self.end = np.zeros(0, np.int64)  # both are filled at the first rewriting
         self.touched: list[Span] = []
 
     def rewrite(self, pattern: re.Pattern, output) -> None:
         """Replace each match by output(match); every output character stands for the whole match.
         A None keeps the match as it is."""
-        text, s, e = [], [], []
-        at = 0
-        for m in pattern.finditer(self.text):
-            new = output(m)
-            if new is None:
-                continue
-            if not self.touched:
-                self.start = list(range(len(self.text)))
-                self.end = list(range(1, len(self.text) + 1))
-            a, b = m.span()
-            text.append(self.text[at:a])
-            s += self.start[at:a]
-            e += self.end[at:a]
-            lo, hi = self.start[a], self.end[b - 1]
-            text.append(new)
-            s += [lo] * len(new)
-            e += [hi] * len(new)
-            self.touched.append((lo, hi))
-            at = b
-        if at:
-            self.text = "".join([*text, self.text[at:]])
-            self.start = s + self.start[at:]
-            self.end = e + self.end[at:]
+        self.replace([(*m.span(), new) for m in pattern.finditer(self.text) if (new := output(m)) is not None])
+
+    def replace(self, found: list[tuple[int, int, str]]) -> None:
+        """Replace the ordered, disjoint parts (start, end, new text)."""
+        if not found:
+            return
+        if not self.touched:
+            self.start = np.arange(len(self.text))
+            self.end = self.start + 1
+        a, b = (np.array(x) for x in ([f[0] for f in found], [f[1] for f in found]))
+        lo, hi = self.start[a], self.end[b - 1]
+        text, at = [], 0
+        for x, y, new in found:
+            text += [self.text[at:x], new]
+            at = y
+        self.text = "".join([*text, self.text[at:]])
+        # of the matches nothing stays; then each new character goes in front of what followed its match
+        stay = np.ones(len(self.start), bool)
+        edge = np.zeros(len(self.start) + 1, np.int64)
+        edge[a] += 1
+        edge[b] -= 1
+        stay = np.cumsum(edge[:-1]) == 0
+        size = np.array([len(f[2]) for f in found])
+        into = np.repeat(np.cumsum(stay)[a] if len(a) else a, size)
+        self.start = np.insert(self.start[stay], into, np.repeat(lo, size))
+        self.end = np.insert(self.end[stay], into, np.repeat(hi, size))
+        self.touched += list(zip(lo.tolist(), hi.tolist()))
 
     def source(self, a: int, b: int) -> Span:
-        return self.start[a], self.end[b - 1]
+        return int(self.start[a]), int(self.end[b - 1])
 
 
 _LOOKALIKE = dict(zip("аеорсухіјѕһԁԛԝВЕКМНОРСТХАЅІЈкмтвνοαρτυικεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwBEKMHOPCTXASIJkmtbvoaptuikeABEZHIKMNOPTYX"))
@@ -148,12 +154,12 @@ _ONE = re.compile(rf"(?:(double|triple)[ -]+)?({_DIGIT_WORD})(?!\w)|([0-9]+)", r
 _PLUS = re.compile(rf"(?<!\w)plus[ -]{{1,2}}(?=[0-9]|{_TIMES}(?:{_DIGIT_WORD})(?!\w))", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_IN, _DOT_IN = "at|ät|arroba|arobase|chez|@", r"dot|punkt|punto|point|\."
-_DOT_SPACED = "dot|DOT|punkt|punto"
-_AT = rf"(?:\s?{_OPEN}\s?(?:{_AT_IN})\s?{_CLOSE}\s?|\s(?:at|AT)\s|\s@\s|\s?&#64;\s?)"
+_DOT_SPACED = "dot|punkt|punto"
+_AT = rf"(?:\s?{_OPEN}\s?(?:{_AT_IN})\s?{_CLOSE}\s?|\sat\s|\s@\s|\s?&#64;\s?)"
 _DOT = rf"(?:\s?{_OPEN}\s?(?:{_DOT_IN})\s?{_CLOSE}\s?|\s(?:{_DOT_SPACED})\s)"
-_DISGUISED = re.compile(
-    rf"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)({_AT}|@)([A-Za-z0-9-]+)((?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I
-)
+# The parts of a disguised address; each is possessive, as none can end where the next one begins.
+_CHAIN = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]++)*+", re.I)
+_AFTER = re.compile(rf"({_AT}|@)([A-Za-z0-9-]++)((?:(?:\.|{_DOT})[A-Za-z0-9-]++)++)", re.I)
 _DOTS = re.compile(_DOT, re.I)
 _DISGUISED_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![\w])", re.I)
 _PROSE = frozenset("a an the this that these those his her its our your my their one all any each every".split())
@@ -188,19 +194,29 @@ def normalise(text: str) -> Tape:
     if _RUN.search(tape.text):
         tape.rewrite(_SPELLED, _spelled)
 
-    def address(m: re.Match) -> str | None:
-        if m[2] == "@" and not _DOTS.search(m[0]):
-            return None
-        if m[2].strip().lower() == "at" and (not _DOTS.search(m[4]) or m[3].lower() in _PROSE):
-            return None  # "look at example.com" and "at the dot" are prose
-        return _DOTS.sub(".", m[1]) + "@" + m[3] + _DOTS.sub(".", m[4])
-
     if _disguises(tape.text):
-        tape.rewrite(_DISGUISED, address)
+        tape.replace(_addresses(tape.text))
         tape.rewrite(_DISGUISED_IP, lambda m: _DOTS.sub(".", m[0]) if _DOTS.search(m[0]) else None)
     return tape
 
 
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Disguised addresses and their plain forms. A chain that no "at" follows is passed over whole."""
+    out, at = [], 0
+    while chain := _CHAIN.search(text, at):
+        at = chain.end()
+        m = _AFTER.match(text, at)
+        if not m:
+            continue
+        if m[1] == "@" and not _DOTS.search(chain[0]) and not _DOTS.search(m[3]):
+            continue
+        if m[1].strip().lower() == "at" and (not _DOTS.search(m[3]) or m[2].lower() in _PROSE):
+            continue  # "look at example.com" and "at the dot" are prose
+        out.append((chain.start(), m.end(), _DOTS.sub(".", chain[0]) + "@" + m[2] + _DOTS.sub(".", m[3])))
+        at = m.end()
+    return out
+
+
 def _disguises(text: str) -> bool:
     """Is there a disguised @ or dot other than a bare "at"?"""
     return "&#64;" in text or bool(_BRACKETED.search(text) or _SPACED.search(text))
