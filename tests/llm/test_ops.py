@@ -289,6 +289,49 @@ def test_language(spark, sf):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_character_grams():
+    texts = ["Ein Baum, größer 日本語の🙂 x", "ab", "", "日本", "naïve café", "AbC1 2"]
+    data, off = byte_view(pa.array(texts))
+    d, h = langid.grams(data, off)
+    plain = [re.sub(r"[\x00-\x40\x5b-\x60\x7b-\x7f]", " ", t.lower() if t.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+
+    def bucket(gram):
+        data, off = byte_view(pa.array([gram]))
+        return langid.grams(data, off)[1][-1]  # that of the whole, which comes last
+
+    want = Counter((i, bucket(t[j : j + n])) for i, t in enumerate(plain) for n in (3, 4) for j in range(len(t) - n + 1))
+    assert Counter(zip(d.tolist(), h.tolist())) == want
+
+
+def test_language_like_brute_force(spark, monkeypatch):
+    """Predictions of a plain naive Bayes in Python, for languages in one part and in several."""
+    from math import exp, log
+
+    rng = random.Random(4)
+    sounds = {k: [rng.choice("bdfgklmnprstvz") + rng.choice("aeiouéüñ") for _ in range(6)] for k in ("aa", "bb", "cc", "dd", "ee")}
+    say = lambda k, n: " ".join("".join(rng.choice(sounds[k]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(k, rng.randint(1, 12)), k) for i, k in enumerate(rng.choice(list(sounds)) for _ in range(160))] + [(900, None, "aa"), (901, "12 .", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    count, total, n = defaultdict(Counter), Counter(), Counter()
+    grams = lambda t: langid.grams(*byte_view(pa.array([t])))[1].tolist()
+    for i, t, k in rows:
+        if i not in held and t is not None:
+            count[k].update(grams(t))
+            total[k] += len(grams(t))
+            n[k] += 1
+    want = {}
+    for i, t, _ in rows:
+        s = {k: log(n[k] / sum(n.values())) + sum(log((count[k][g] + 0.5) / (total[k] + 0.5 * langid.BUCKETS)) for g in grams(t)) for k in n} if t and re.search("[^\\W\\d_]", t) else {}
+        top = max(s.values(), default=0)
+        want[i] = (min((k for k in s if s[k] == top), default="und"), 1 / sum(exp(v - top) for v in s.values()) if s else 0.0)
+    for langs in (500, 2):
+        monkeypatch.setattr(langid, "LANGS", langs)
+        got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+        assert {i: r["lang_pred"] for i, r in got.items()} == {i: x[0] for i, x in want.items()}
+        assert all(abs(r["score"] - want[i][1]) < 1e-9 and r["held_out"] == (i in held) for i, r in got.items())
+
+
 # --- 7 ---
 
 

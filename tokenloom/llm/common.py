@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Largest Bloom filter, in bits. A filter that is too small passes more rows; results stay whole.
@@ -32,25 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    bounded(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    bounded(df.sparkSession)
+    return storage.materialize(df, name)
 
 
 def text_keys(text: str | Column = "text") -> list[Column]:

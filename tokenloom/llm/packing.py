@@ -6,19 +6,20 @@ over it picks the bucket boundaries with the least padding. Within a bucket ever
 to the boundary, so a batch holds budget // boundary pieces; pieces are numbered by doc_id and
 piece, and the number gives the batch.
 
-Numbers come from counts by (bucket, chunk of doc_ids) that are summed up, so no task holds a
-bucket. A document without tokens, or null, is one piece of length 0 in batch 0 of bucket 0.
-Repeated rows are packed each. Rows without a doc_id come first.
+Numbers are running sums over range partitions (storage.running), so no task holds a bucket, whatever
+the doc_ids are. A document without tokens, or null, is one piece of length 0 in batch 0 of bucket 0.
+Repeated rows are packed each; they are equal, so it doesn't matter in which order. Rows without a doc_id come first.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import numbered
+
 MAX_LEN, BUCKETS, BUDGET = 2048, 12, 16384
-CHUNK = 4096
 
 
 def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
@@ -69,17 +70,6 @@ def pack(docs: DataFrame, text: str = "text", max_len: int = MAX_LEN, buckets: i
     for b in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bucket)
     bucket = F.when(F.col("n_tokens") == 0, F.lit(0).cast("long")).otherwise(bucket)
-    number = F.col("doc_id").cast("long")
-    placed = pieces.withColumn("bucket", bucket).withColumn("chunk", F.floor(number / CHUNK))
-    counts = placed.groupBy("bucket", "chunk").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("bucket", "chunk", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("bucket", "chunk").orderBy(F.asc_nulls_first("doc_id"), "piece", "n_tokens")
-    numbered = placed.withColumn("row", F.row_number().over(inside) - 1)
-    a, b = numbered.alias("a"), base.alias("b")
-    joined = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & F.col("a.chunk").eqNullSafe(F.col("b.chunk")))
-    per = F.when(F.col("a.bucket") > 0, F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("a.bucket")))).otherwise(F.lit(1 << 62))
-    return joined.select(
-        F.col("a.doc_id").alias("doc_id"), F.col("a.piece").alias("piece"), F.col("a.n_tokens").alias("n_tokens"), F.col("a.bucket").alias("bucket"),
-        F.floor((F.col("b.base") + F.col("a.row")).cast("long") / per).cast("long").alias("batch"), (F.col("a.bucket") - F.col("a.n_tokens")).alias("pad"),
-    )
+    placed = numbered(pieces.withColumn("bucket", bucket), ["doc_id", "piece"], "row", ("bucket",))
+    per = F.when(F.col("bucket") > 0, F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket")))).otherwise(F.lit(1 << 62))
+    return placed.select("doc_id", "piece", "n_tokens", "bucket", F.floor(F.col("row") / per).cast("long").alias("batch"), (F.col("bucket") - F.col("n_tokens")).alias("pad"))
