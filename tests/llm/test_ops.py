@@ -235,8 +235,8 @@ def test_ogg_rows(spark):
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 200)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(topk, "SHARD_VALUES", 200 * 8)
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 40 * 8)
     monkeypatch.setattr(topk, "LEAF", 16)
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(900, 8)) * 0.2, 1).astype(np.float32)  # many ties
@@ -253,6 +253,33 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(d.where("false")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Every finite vector takes part, with exact scores."""
+    from fractions import Fraction
+    from math import floor
+
+    rng = random.Random(7)
+    x = [[rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.choice(e) for _ in range(3)] for e in ([0], [20, 24], [26, 31], [40, 70], [300], [600], [1000]) for _ in range(30)]
+    x += [[3e7, 1.0, 0.0], [1e300, -1e300, 1.0], [1e300, -1e300, 2.0], [1.7e308, 1.7e308, 1.7e308]]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), every=3).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    v = [[floor(64 * Fraction(c)) for c in row] for row in x]
+    for i in range(0, len(x), 3):
+        best = sorted((-sum(a * b for a, b in zip(v[i], v[j])), j) for j in range(len(x)) if j != i)[:20]
+        assert sorted(got[i]) == [(n + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, j) in enumerate(best)]
+
+
+def test_top_k_like_sql(spark, sf):
+    import duckdb
+
+    from tokenloom.llm.queries import ORACLE, op4_topk
+
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from read_parquet('{sf}/embeddings.parquet')")
+    assert sorted(map(tuple, op4_topk(spark, sf).collect())) == sorted(c.execute(ORACLE["op4_topk"]).fetchall())
+
+
 # --- 5 ---
 
 

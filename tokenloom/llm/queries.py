@@ -69,12 +69,12 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_ogg, op4_topk,
 ORACLE = {
     "op4_topk": """
 with good as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as hugeint)) as v
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
   from good q join good c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
 ranked as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
