@@ -8,7 +8,8 @@ the string alone. The strings with one anchor start side by side; they span the
 1. anchors are counted over all texts (8 bytes of hash each, pre-aggregated), and occurrences of
    anchors that occur twice are kept, with a 128-bit hash of their piece;
 2. equal pieces are one class, known by its first and last place. Both places go, as text, to the shard of the
-   anchor, together with the other classes of the anchor. So what is equal is settled there, not by hashes;
+   anchor, together with the other classes of the anchor. So what is equal is settled there, not by hashes:
+   whole pieces are compared, and where they are equal all of their strings are repeated;
 3. in a shard the anchor, which is the same in all of its pieces (its bytes are compared), is one symbol.
    The suffix array is built by induced sorting; where the permuted common prefixes reach a string's length,
    neighbouring suffixes are one string, and strings of two places mark their symbols;
@@ -278,6 +279,25 @@ def _longer(batches: Iterator[pa.RecordBatch], grain: Grain, anchor: int) -> Ite
 
 def _shard(held: list[tuple], grain: Grain) -> pa.RecordBatch:
     """Runs of the strings that start at two places, of pieces (anchor, piece, h1, h2, a, left, raw)."""
+    first_of: dict[tuple, list] = {}  # equal pieces are sorted once
+    twice, anchor_of = set(), {}
+    for x in held:
+        y = first_of.setdefault(x[:2] + x[5:], x)
+        if y is not x and y[2:5] != x[2:5]:
+            twice.add(x[:2])
+    held = list(first_of.values())
+    for x in held:
+        anchor_of[x[0]] = anchor_of.get(x[0], 0) + 1
+    whole = [(*x[:2], 0, len(x[6]) // grain.width) for x in held if x[:2] in twice]
+    held = [x for x in held if anchor_of[x[0]] > 1]  # the others share their anchor with equal pieces alone
+    columns = [np.array([w[i] for w in whole], np.int64) for i in range(4)]
+    if held:
+        columns = [np.concatenate(c) for c in zip(columns, _sorted_runs(held, grain))]
+    return pa.RecordBatch.from_arrays([i64(c) for c in columns], ["anchor", "piece", "a", "b"])
+
+
+def _sorted_runs(held: list[tuple], grain: Grain) -> list[np.ndarray]:
+    """Anchor, piece, start and end of the runs that a suffix array over the pieces finds."""
     need = grain.length - grain.anchor + 1  # a string's length, with its anchor as one symbol
     w, width = grain.width, grain.anchor * grain.width
     same: dict[bytes, int] = {}
@@ -323,7 +343,7 @@ def _shard(held: list[tuple], grain: Grain) -> pa.RecordBatch:
     else:
         lo = hi = at
     k = np.array(keys, np.int64).reshape(-1, 2)[piece[lo]]
-    return pa.RecordBatch.from_arrays([i64(k[:, 0]), i64(k[:, 1]), i64(inside[lo]), i64(inside[hi] + grain.length)], ["anchor", "piece", "a", "b"])
+    return [k[:, 0], k[:, 1], inside[lo], inside[hi] + grain.length]
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:

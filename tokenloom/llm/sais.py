@@ -16,7 +16,7 @@ import numpy as np
 from .common import ranges
 
 #: Alphabets over _SMALL are written as two digits; strings of at most _SHORT symbols end the recursion.
-_SMALL, _SHORT = 256, 1 << 14
+_SMALL, _SHORT = 256, 1 << 17
 
 
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
@@ -54,7 +54,7 @@ def _short(t: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[:-size] += rank[size:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
         rank[order] = new
         size *= 2
