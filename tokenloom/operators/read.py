@@ -25,14 +25,21 @@ def items_at(wanted: DataFrame, chunked: DataFrame, size: int, total: int) -> Da
     return w.join(chunked, "chunk").select("index", F.try_element_at("tokens", (F.col("at") - F.col("lo") + 1).cast("int")).alias("token"))
 
 
-def sliced(items: DataFrame, start: int | None, stop: int | None, step: int, total: int) -> DataFrame:
-    """Items of a Python slice: rank (order of the result), position, token."""
+def sliced(chunked: DataFrame, start: int | None, stop: int | None, step: int, total: int, size: int) -> DataFrame:
+    """Items of a Python slice: rank (order of the result), position, token. Chunks outside of it aren't read."""
     a, b, s = slice(start, stop, step).indices(total)
-    rank = (F.col("position") - a) / s
     lo, hi = (a, b - 1) if s > 0 else (b + 1, a)
+    near = chunked.where(F.col("chunk").between(lo // size, hi // size) if lo <= hi else F.lit(False))
+    items = near.select("lo", F.posexplode("tokens").alias("pos", "token")).select((F.col("lo") + F.col("pos")).alias("position"), "token")
+    rank = (F.col("position") - a) / s
     return items.where(F.col("position").between(lo, hi) & ((F.col("position") - a) % abs(s) == 0)).select(rank.cast("long").alias("rank"), "position", "token")
 
 
+def documents_by_id(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents of the ids in wanted (id); null ids and ids that aren't there give none."""
+    return docs.join(wanted.where("id is not null").distinct(), "id")
+
+
 def document_at(positions: DataFrame, placed: DataFrame, span: int) -> DataFrame:
     """positions (position) -> position, doc_id: the document that holds it, by blocks of `span` items."""
     covered = placed.where("end > start").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / span), F.floor((F.col("end") - 1) / span))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import running
+from ..storage import free_name, materialize, running
 
 
 def classified(docs: DataFrame, top: int, text: str = "text", unreadable: str = "unreadable") -> DataFrame:
@@ -41,8 +41,10 @@ def duplicates(ids: DataFrame) -> DataFrame:
 
 
 def not_increasing(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Rows whose value is below the one before, across chunks too."""
-    w = Window.partitionBy("_c").orderBy(order)
-    rows = df.withColumn("_c", F.floor(F.col(order) / 4096))
-    ends = rows.groupBy("_c").agg(F.max_by(value, order).alias("end")).withColumn("carry", F.lag("end").over(Window.orderBy("_c"))).select("_c", "carry")
-    return rows.join(ends, "_c").withColumn("before", F.coalesce(F.lag(value).over(w), F.col("carry"))).where(F.col(value) < F.col("before")).select(order, value, "before")
+    """Rows whose value is below the one before, across partitions too: order, value, before."""
+    part, carry = (free_name(df.columns, n) for n in ("part", "carry"))
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df.select(order, value).repartitionByRange(count, order).withColumn(part, F.spark_partition_id()), "ordered")
+    ends = rows.groupBy(part).agg(F.max_by(value, order).alias(carry)).withColumn(carry, F.lag(carry).over(Window.orderBy(part)))  # a row per partition
+    before = F.coalesce(F.lag(value).over(Window.partitionBy(part).orderBy(order)), F.col(carry))
+    return rows.join(ends, part).withColumn("before", before).where(F.col(value) < F.col("before")).select(order, value, "before")

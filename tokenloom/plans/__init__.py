@@ -1,34 +1,24 @@
-"""The token stream as plans: numbering, vocabulary, encoding, offsets, shards.
+"""The token stream as plans: vocabulary, encoding, offsets, chunks, shards.
 
-Order always comes from a column. Numbers and running sums take two levels, sums by chunk of the
-order column and a running sum inside each chunk, so no task sorts a whole table.
+Order always comes from a column. Numbers and running sums are those of storage.running: range partitions and
+the sums of whole partitions, so no task sorts a table. Tokens stay in one array per document; a
+document is encoded where it is, against a vocabulary whose frequent part is broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import BOS, EOS, FIRST_WORD, UNK, pieces
+from ..storage import free_name, materialize, numbered, running
 
-CHUNK = 4096
-
-
-def running(df: DataFrame, order: str, value: Column, out: str, by: tuple[str, ...] = (), chunk: Column | None = None) -> DataFrame:
-    """df with `out`, the sum of value over the rows of its group `by` up to this one. `order` is unique
-    in a group; chunk is a nondecreasing function of it (an integer order: blocks of CHUNK numbers)."""
-    c = F.floor(F.col(order) / CHUNK) if chunk is None else chunk
-    rows = df.withColumn("_chunk", c).withColumn("_value", value.cast("long"))
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(*by, "_chunk").agg(F.sum("_value").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long"))).drop("_sum")
-    inside = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("_local", F.sum("_value").over(inside))
-    return local.join(base, [*by, "_chunk"]).withColumn(out, F.col("_base") + F.col("_local")).drop("_chunk", "_value", "_local", "_base")
-
-
-def numbered(df: DataFrame, order: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with `out`, the row's number in order, from 0."""
-    return running(df, order, F.lit(1), out, by).withColumn(out, F.col(out) - 1)
+#: Entries and bytes of the part of a vocabulary that is broadcast; the rest is joined.
+BROADCAST_PIECES, BROADCAST_BYTES = 1 << 20, 64 << 20
 
 
 def piece_rows(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -36,23 +26,100 @@ def piece_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(pieces(text)).alias("pos", "piece"))
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """piece, n, token: ids by falling frequency, then piece. Pieces of one frequency are numbered
-    by their first two characters and then inside those, so the many rare ones spread out."""
-    v = rows.groupBy("piece").agg(F.count("*").alias("n")).withColumn("head", F.substring("piece", 1, 2))
-    groups = v.groupBy("n", "head").agg(F.count("*").alias("m"))
-    levels = groups.groupBy("n").agg(F.sum("m").alias("level"))
-    above = levels.withColumn("above", F.coalesce(F.sum("level").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).select("n", "above")
-    heads = groups.withColumn("beside", F.coalesce(F.sum("m").over(Window.partitionBy("n").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    base = heads.join(above, "n").select("n", "head", (F.col("above") + F.col("beside")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("n", "head").orderBy("piece"))
-    return v.withColumn("rank", rank).join(base, ["n", "head"]).select("piece", "n", (F.col("base") + F.col("rank") + (FIRST_WORD - 1)).cast("long").alias("token"))
-
-
-def encoded(rows: DataFrame, vocab: DataFrame, cap: int | None = None) -> DataFrame:
-    """doc_id, pos, token; with a cap, only the cap most frequent pieces are known, others are UNK."""
-    known = vocab if cap is None else vocab.where(F.col("token") < FIRST_WORD + cap)
-    return rows.join(known.select("piece", "token"), "piece", "inner" if cap is None else "left").select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce("token", F.lit(UNK).cast("long")).alias("token"))
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """piece, n, token of all texts: ids by falling frequency, then piece. Counts are summed up before they are
+    shuffled, and pieces are numbered by range partitions."""
+    v = docs.select(F.explode(pieces(text)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    ranked = numbered(v.withColumn("falling", -F.col("n")), ["falling", "piece"], "token")
+    return ranked.select("piece", "n", (F.col("token") + FIRST_WORD).alias("token"))
+
+
+def encode(docs: DataFrame, vocab: DataFrame, cap: int | None = None, text: str = "text", out: str = "tokens") -> DataFrame:
+    """docs with `out`, an array of token ids; pieces that vocab (piece, token) doesn't have are UNK, and with a
+    cap so are all but the cap most frequent ones.
+
+    The pieces of the least ids, as many as BROADCAST_PIECES and BROADCAST_BYTES allow, are broadcast and looked up in the
+    document's own row. If there are more, occurrences of the others, which are rare ones, are joined.
+    """
+    limit = FIRST_WORD + BROADCAST_PIECES if cap is None else FIRST_WORD + min(cap, BROADCAST_PIECES)
+    head = vocab.where(F.col("token") < limit).select("piece", "token")
+    room = head.agg(F.coalesce(F.sum(F.octet_length("piece") + 16), F.lit(0))).first()[0]
+    if room > BROADCAST_BYTES:
+        limit = FIRST_WORD + int((limit - FIRST_WORD) * BROADCAST_BYTES / room / 2)
+        head = head.where(F.col("token") < limit)
+    known = head.toArrow()
+    rest = vocab.where(F.col("token") >= limit) if cap is None else vocab.where(F.col("token").between(limit, FIRST_WORD + cap - 1))
+    more = cap is None or cap > BROADCAST_PIECES or room > BROADCAST_BYTES
+    more = more and not rest.isEmpty()
+    shared = docs.sparkSession.sparkContext.broadcast((known["piece"].combine_chunks(), known["token"].to_numpy()))
+    split = free_name([*docs.columns, out], "pieces")
+    cut = docs.drop(out).withColumn(split, pieces(text))
+    at = cut.columns.index(split)
+    kept = cut.drop(split)
+    names_out = [*kept.columns, *([split] if more else []), out]
+    table: dict[str, dict] = {}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "ids" not in table:
+            names, ids = shared.value
+            table["ids"] = dict(zip(names.to_pylist(), ids.tolist()))
+        of = table["ids"]
+        for b in batches:
+            lists = b.column(at)
+            coded = lists.flatten().dictionary_encode()
+            look = np.array([of.get(x, -1 if more else UNK) for x in coded.dictionary.to_pylist()], np.int64)
+            flat = look[coded.indices.to_numpy()] if len(look) else np.zeros(0, np.int64)
+            size = np.diff(lists.offsets.to_numpy())
+            arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+            rest_of = [c for i, c in enumerate(b.columns) if i != at]
+            extra = [lists] if more else []
+            yield pa.RecordBatch.from_arrays([*rest_of, *extra, arrays], names_out)
+
+    shape = kept.withColumn(split, F.array().cast("array<string>")) if more else kept
+    found = cut.mapInArrow(rows, shape.withColumn(out, F.array().cast("array<bigint>")).schema)
+    return _rare(found, rest, split, out) if more else found
+
+
+def _rare(found: DataFrame, rest: DataFrame, split: str, out: str) -> DataFrame:
+    """Tokens -1 of found are looked up in rest by a join of the rare pieces alone."""
+    key = free_name(found.columns, "row")
+    found = materialize(found.withColumn(key, F.monotonically_increasing_id()), "encoded")
+    gaps = found.where(F.array_contains(out, F.lit(-1))).select(key, F.posexplode(F.arrays_zip(F.col(out).alias("t"), F.col(split).alias("p"))).alias("pos", "x")).where("x.t = -1")
+    ids = gaps.select(key, "pos", F.col("x.p").alias("piece")).join(rest.select("piece", "token"), "piece", "left")
+    by_row = ids.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("token", F.lit(UNK).cast("long"))))).alias("gap tokens"))
+    filled = F.when(F.col("gap tokens").isNull(), F.col(out)).otherwise(F.transform(out, lambda t, i: F.when(t == -1, F.col("gap tokens")[i]).otherwise(t)))
+    return found.join(by_row, key, "left").withColumn(out, filled).drop(split, key, "gap tokens")
+
+
+def decode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """docs (tokens) with `decoded`: the pieces of its tokens, joined by spaces. The frequent part of the
+    vocabulary is broadcast, tokens of the rest are joined."""
+    head = vocab.where(F.col("token") < FIRST_WORD + BROADCAST_PIECES).select("piece", "token").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((head["piece"].combine_chunks(), head["token"].to_numpy()))
+    at = docs.columns.index("tokens")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = shared.value
+        order = np.argsort(ids)
+        names, ids = names.take(pa.array(order)), ids[order]
+        for b in batches:
+            lists = b.column(at)
+            flat = lists.flatten().to_numpy()
+            found = np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
+            words = names.take(pa.array(found, mask=ids[found] != flat)) if len(ids) else pa.nulls(len(flat), pa.string())
+            size = np.diff(lists.offsets.to_numpy())
+            arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([*b.columns, arrays], [*b.schema.names, "words"])
+
+    found = docs.mapInArrow(rows, docs.withColumn("words", F.array().cast("array<string>")).schema)
+    rest = vocab.where(F.col("token") >= FIRST_WORD + BROADCAST_PIECES)
+    if not rest.isEmpty():
+        key = free_name(found.columns, "row")
+        found = materialize(found.withColumn(key, F.monotonically_increasing_id()), "decoded")
+        gaps = found.select(key, F.posexplode(F.arrays_zip(F.col("words").alias("w"), F.col("tokens").alias("t"))).alias("pos", "x")).where("x.w is null")
+        names = gaps.select(key, "pos", F.col("x.t").alias("token")).join(rest, "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "piece"))).alias("gap words"))
+        found = found.join(names, key, "left").withColumn("words", F.transform("words", lambda w, i: F.coalesce(w, F.col("gap words")[i]))).drop(key, "gap words")
+    return found.withColumn("decoded", F.array_join("words", " ")).drop("words")
 
 
 def lengths(docs: DataFrame, text: str = "text", eos: bool = True, bos: bool = False) -> DataFrame:
@@ -65,21 +132,24 @@ def offsets(sized: DataFrame, order: str = "doc_id", by: tuple[str, ...] = ()) -
     return running(sized, order, F.col("n_items"), "end", by).withColumn("start", F.col("end") - F.col("n_items"))
 
 
-def stream(tokens: DataFrame, placed: DataFrame, eos: bool = True, bos: bool = False) -> DataFrame:
-    """doc_id, position, token of every item; placed has doc_id, start, end."""
-    items = tokens.join(placed.select("doc_id", "start"), "doc_id").select("doc_id", (F.col("start") + F.col("pos") + int(bos)).alias("position"), "token")
-    if eos:
-        items = items.unionByName(placed.select("doc_id", (F.col("end") - 1).alias("position"), F.lit(EOS).cast("long").alias("token")))
-    if bos:
-        items = items.unionByName(placed.select("doc_id", F.col("start").alias("position"), F.lit(BOS).cast("long").alias("token")))
-    return items
+def assembled(tokens: str = "tokens", eos: bool = True, bos: bool = False) -> F.Column:
+    """A document's items: its tokens between the separators."""
+    one = lambda v: [F.array(F.lit(v).cast("long"))]
+    return F.concat(*(one(BOS) if bos else []), F.col(tokens), *(one(EOS) if eos else []))
+
+
+def stream(placed: DataFrame, items: str = "items") -> DataFrame:
+    """doc_id, position, token of every item; placed has doc_id, start and an array of items."""
+    return placed.select("doc_id", "start", F.posexplode(items).alias("pos", "token")).select("doc_id", (F.col("start") + F.col("pos")).alias("position"), "token")
 
 
-def chunks(items: DataFrame, size: int) -> DataFrame:
-    """chunk, lo, tokens: blocks of `size` items in stream order, the storage form of a split."""
-    return items.groupBy(F.floor(F.col("position") / size).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("x")).select(
-        "chunk", (F.col("chunk") * size).alias("lo"), F.col("x.token").alias("tokens")
-    )
+def chunks(placed: DataFrame, size: int, items: str = "items", by: tuple[str, ...] = ()) -> DataFrame:
+    """chunk, lo, tokens: blocks of `size` items in stream order, the storage form of a split. Each document
+    sends a slice of its array to the chunks that it touches."""
+    cut = shard_pieces(placed, size)
+    part = F.slice(items, (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    met = cut.select(*by, F.col("shard").alias("chunk"), "lo", part.alias("part")).groupBy(*by, "chunk").agg(F.array_sort(F.collect_list(F.struct("lo", "part"))).alias("x"))
+    return met.select(*by, "chunk", (F.col("chunk") * size).alias("lo"), F.flatten("x.part").alias("tokens"))
 
 
 def shard_pieces(placed: DataFrame, shard_items: int) -> DataFrame:

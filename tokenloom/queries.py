@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import plans
+from .corpus import Corpus, write_corpus
 from .operators import read, sample, stats
+from .storage import numbered, running
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -47,24 +49,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Token rows and placed documents of the corpus as one split."""
-    docs = documents(spark, sf_dir)
-    rows = plans.piece_rows(docs)
-    return plans.encoded(rows, plans.vocabulary(rows)), placed(spark, sf_dir)
-
-
-def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return plans.offsets(plans.lengths(docs).drop("text"))
+_WRITTEN: dict[tuple, Corpus] = {}
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.stream(*tokens(spark, sf_dir))
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The documents as one stored split. As a source is written once and then read, an application writes it
+    at the first query that reads it (again, if the files have changed)."""
+    docs = documents(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(docs.inputFiles())), docs.count())
+    if key not in _WRITTEN:
+        _WRITTEN[key] = write_corpus(docs.select("doc_id", "text", "lang", "source"), size=S)
+    return _WRITTEN[key]
 
 
-def total_items(spark: SparkSession, sf_dir: str) -> int:
-    return plans.lengths(documents(spark, sf_dir)).agg(F.sum("n_items")).first()[0] or 0
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of the documents alone, without encoding them."""
+    return plans.offsets(plans.lengths(documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("text"))
 
 
 def joined(column: str) -> F.Column:
@@ -76,7 +76,7 @@ def joined(column: str) -> F.Column:
 
 @query("select doc_id, row_number() over (order by doc_id) - 1 as input_index, cast(doc_id as varchar) as id, length(text) as n_chars from documents", False)
 def normalize_documents(spark, sf_dir):
-    d = plans.numbered(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "input_index")
+    d = numbered(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "input_index")
     return d.select("doc_id", "input_index", F.col("doc_id").cast("string").alias("id"), F.char_length("text").cast("long").alias("n_chars"))
 
 
@@ -97,7 +97,7 @@ def word_pieces(spark, sf_dir):
 
 @query("select piece, n, token from vocab")
 def vocab_by_frequency(spark, sf_dir):
-    return plans.vocabulary(plans.piece_rows(documents(spark, sf_dir)))
+    return plans.vocabulary(documents(spark, sf_dir))
 
 
 @query("""select v as vocab_size, case when v < 1 or v > 4294967296 then null when v <= 256 then 'uint8' when v <= 65536 then 'uint16' else 'uint32' end as dtype
@@ -111,40 +111,36 @@ def dtype_for_vocab(spark, sf_dir):
 @query("""select o.doc_id, o.n_items, sha256(string_agg(s.token, ' ' order by s.position)) as tokens
 from offs o join stream s using (doc_id) group by o.doc_id, o.n_items""")
 def tokenize_with_eos(spark, sf_dir):
-    t, where = tokens(spark, sf_dir)
-    g = plans.stream(t, where).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("x"))
-    return g.select("doc_id", F.size("x").cast("long").alias("n_items"), F.sha2(joined("x.token"), 256).alias("tokens"))
+    d = corpus(spark, sf_dir).docs.withColumn("items", plans.assembled())
+    return d.select("doc_id", F.size("items").cast("long").alias("n_items"), F.sha2(joined("items"), 256).alias("tokens"))
 
 
 @query("""select p.doc_id, len(p.p) + 1 as n_items, sha256(concat_ws(' ', '2', string_agg(v.token, ' ' order by t.pos))) as tokens
 from pieces p left join tok t using (doc_id) left join vocab v using (piece) group by p.doc_id, len(p.p)""")
 def tokenize_bos_no_eos(spark, sf_dir):
-    t, _ = tokens(spark, sf_dir)
-    where = plans.offsets(plans.lengths(documents(spark, sf_dir).select("doc_id", "text"), eos=False, bos=True))
-    g = plans.stream(t, where, eos=False, bos=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("x"))
-    return g.select("doc_id", F.size("x").cast("long").alias("n_items"), F.sha2(joined("x.token"), 256).alias("tokens"))
+    d = corpus(spark, sf_dir).docs.withColumn("items", plans.assembled(eos=False, bos=True))
+    return d.select("doc_id", F.size("items").cast("long").alias("n_items"), F.sha2(joined("items"), 256).alias("tokens"))
 
 
 @query("""select doc_id, count(*) as n_pieces, cast(sum(case when token < 1003 then 0 else 1 end) as bigint) as n_unknown,
 cast(sum(case when token < 1003 then token * (pos + 1) else 0 end) as bigint) as checksum from tok join vocab using (piece) group by doc_id""")
 def encode_unknown_words(spark, sf_dir):
-    rows = plans.piece_rows(documents(spark, sf_dir))
-    e = plans.encoded(rows, plans.vocabulary(rows), cap=1000)
-    return e.groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.count_if(F.col("token") == fn.UNK).alias("n_unknown"), F.sum(F.col("token") * (F.col("pos") + 1)).alias("checksum"))
+    d = plans.encode(documents(spark, sf_dir).select("doc_id", "text"), corpus(spark, sf_dir).vocab, cap=1000).where(F.size("tokens") > 0)
+    weighed = F.aggregate(F.transform("tokens", lambda t, i: t * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    unknown = F.size(F.filter("tokens", lambda t: t == fn.UNK)).cast("long")
+    return d.select("doc_id", F.size("tokens").cast("long").alias("n_pieces"), unknown.alias("n_unknown"), weighed.alias("checksum"))
 
 
 @query("""select doc_id, string_agg(piece, ' ' order by pos) as decoded from tok group by doc_id""")
 def decode_documents(spark, sf_dir):
-    rows = plans.piece_rows(documents(spark, sf_dir))
-    v = plans.vocabulary(rows)
-    back = plans.encoded(rows, v).join(v.select("token", "piece"), "token")
-    return back.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "piece")))["piece"], " ").alias("decoded"))
+    c = corpus(spark, sf_dir)
+    return plans.decode(c.docs.where(F.size("tokens") > 0).select("doc_id", "tokens"), c.vocab).select("doc_id", "decoded")
 
 
 @query("""select doc_id, max(token) as highest, max(token) > 65535 as refused from tok join vocab using (piece) group by doc_id""")
 def checked_narrowing(spark, sf_dir):
-    t, _ = tokens(spark, sf_dir)
-    return t.groupBy("doc_id").agg(F.max("token").alias("highest")).withColumn("refused", F.col("highest") > 65535)
+    d = corpus(spark, sf_dir).docs.where(F.size("tokens") > 0).select("doc_id", F.array_max("tokens").alias("highest"))
+    return d.withColumn("refused", F.col("highest") > 65535)
 
 
 # --- rejects -------------------------------------------------------------------------------------
@@ -157,9 +153,9 @@ from pieces p left join marks m using (doc_id) left join high h using (doc_id))
 
 
 def _checked(spark, sf_dir):
-    t, _ = tokens(spark, sf_dir)
+    highest = corpus(spark, sf_dir).docs.select("doc_id", F.array_max("tokens").alias("highest"))
     docs = skip_documents(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 97 == 0, "").otherwise(F.col("text")).alias("text")), "doc_id")
-    docs = plans.lengths(docs).join(t.groupBy("doc_id").agg(F.max("token").alias("highest")), "doc_id", "left")
+    docs = plans.lengths(docs).join(highest, "doc_id", "left")
     return stats.classified(docs, 65535)
 
 
@@ -185,21 +181,21 @@ def size_classes(spark, sf_dir):
 
 @query('select doc_id, doc_index, n_items, start, "end" from offs')
 def document_offsets(spark, sf_dir):
-    return plans.numbered(placed(spark, sf_dir), "doc_id", "doc_index").select("doc_id", "doc_index", "n_items", "start", "end")
+    return numbered(placed(spark, sf_dir), "doc_id", "doc_index").select("doc_id", "doc_index", "n_items", "start", "end")
 
 
 @query("""select doc_id, cast(sum(n) over (order by doc_id) as bigint) - n as start, n as n_bytes from (select doc_id, strlen('{"id": "' || cast(doc_id as varchar) || '"}') + 1 as n from documents)""", False)
 def id_line_offsets(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", F.octet_length(fn.id_line(F.col("doc_id").cast("string"))).cast("long").alias("n_bytes"))
-    return plans.running(d, "doc_id", F.col("n_bytes"), "end").select("doc_id", (F.col("end") - F.col("n_bytes")).alias("start"), "n_bytes")
+    return running(d, "doc_id", F.col("n_bytes"), "end").select("doc_id", (F.col("end") - F.col("n_bytes")).alias("start"), "n_bytes")
 
 
 @query(f"""select position // {S} as shard, count(*) as n_items, count(distinct doc_id) as n_docs, min(position) as first_pos, sha256(string_agg(token, ' ' order by position)) as tokens from stream group by 1""")
 def shard_layout(spark, sf_dir):
-    g = items(spark, sf_dir).groupBy(F.floor(F.col("position") / S).alias("shard")).agg(
-        F.count("*").alias("n_items"), F.count_distinct("doc_id").alias("n_docs"), F.min("position").alias("first_pos"), F.array_sort(F.collect_list(F.struct("position", "token"))).alias("x")
-    )
-    return g.select("shard", "n_items", "n_docs", "first_pos", F.sha2(joined("x.token"), 256).alias("tokens"))
+    c = corpus(spark, sf_dir)
+    docs = plans.shard_pieces(c.placed(), S).groupBy("shard").agg(F.count("*").alias("n_docs"))
+    shards = c.chunks.select(F.col("chunk").alias("shard"), F.size("tokens").cast("long").alias("n_items"), F.col("lo").alias("first_pos"), F.sha2(joined("tokens"), 256).alias("tokens"))
+    return shards.join(docs, "shard").select("shard", "n_items", "n_docs", "first_pos", "tokens")
 
 
 @query(f'select doc_id, start, "end", ("end" - 1) // {S} - start // {S} + 1 as n_shards from offs where start // {S} <> ("end" - 1) // {S}')
@@ -239,21 +235,24 @@ _INDEX = [0, 1, 999, 1000, 1001, 12345, -1, -2, -1000]
 @query(f"""select i as "index", token from (select unnest({_INDEX}::bigint[]) as i) w, total t join stream s on s.position = case when i < 0 then i + t.n else i end""")
 def item_lookup(spark, sf_dir):
     want = spark.createDataFrame([(i,) for i in _INDEX], "index long")
-    return read.items_at(want, plans.chunks(items(spark, sf_dir), S), S, total_items(spark, sf_dir))
+    c = corpus(spark, sf_dir)
+    return read.items_at(want, c.chunks, S, c.n_items)
 
 
 @query("select (position - 500) // 7 as rank, position, token from stream, total where position >= 500 and position < n - 300 and (position - 500) % 7 = 0")
 def slice_step(spark, sf_dir):
-    return read.sliced(items(spark, sf_dir), 500, -300, 7, total_items(spark, sf_dir))
+    c = corpus(spark, sf_dir)
+    return read.sliced(c.chunks, 500, -300, 7, c.n_items, S)
 
 
 @query("select (n - 1 - position) // 5 as rank, position, token from stream, total where (n - 1 - position) % 5 = 0")
 def slice_reverse(spark, sf_dir):
-    return read.sliced(items(spark, sf_dir), None, None, -5, total_items(spark, sf_dir))
+    c = corpus(spark, sf_dir)
+    return read.sliced(c.chunks, None, None, -5, c.n_items, S)
 
 
 def _windows(spark, sf_dir, wanted: DataFrame) -> DataFrame:
-    return read.windows(wanted, plans.chunks(items(spark, sf_dir), S), S)
+    return read.windows(wanted, corpus(spark, sf_dir).chunks, S)
 
 
 def _hashed(w: DataFrame) -> DataFrame:
@@ -263,42 +262,39 @@ def _hashed(w: DataFrame) -> DataFrame:
 @query("""select o.doc_id as "window", o.start, count(*) as n, sha256(string_agg(s.token, ' ' order by s.position)) as tokens
 from offs o join stream s on s.position >= o.start and s.position < o.start + 64 group by 1, 2""")
 def window_lookup(spark, sf_dir):
-    want = placed(spark, sf_dir).select(F.col("doc_id").alias("window"), "start", F.lit(64).cast("long").alias("length"))
+    want = corpus(spark, sf_dir).placed().select(F.col("doc_id").alias("window"), "start", F.lit(64).cast("long").alias("length"))
     return _hashed(_windows(spark, sf_dir, want))
 
 
 @query(f"""select b as "window", b * {S} - 100 as start, count(*) as n, sha256(string_agg(s.token, ' ' order by s.position)) as tokens
 from (select unnest(range(1, (select n from total) // {S})) as b) w join stream s on s.position >= b * {S} - 100 and s.position < b * {S} + 1200 group by 1, 2""")
 def window_across_shards(spark, sf_dir):
-    n = total_items(spark, sf_dir) // S
+    n = corpus(spark, sf_dir).n_items // S
     want = spark.range(1, max(1, n)).select(F.col("id").alias("window"), (F.col("id") * S - 100).alias("start"), F.lit(1300).cast("long").alias("length"))
     return _hashed(_windows(spark, sf_dir, want))
 
 
 @query("""select doc_index, sha256(string_agg(token, ' ' order by position)) as tokens from offs join stream using (doc_id) group by doc_index""")
 def doc_tokens(spark, sf_dir):
-    d = plans.numbered(placed(spark, sf_dir), "doc_id", "doc_index")
-    want = d.select(F.col("doc_index").alias("window"), "start", F.col("n_items").alias("length"))
+    want = corpus(spark, sf_dir).placed().select(F.col("doc_index").alias("window"), "start", F.col("n_items").alias("length"))
     return _windows(spark, sf_dir, want).select(F.col("window").alias("doc_index"), F.sha2(joined("tokens"), 256).alias("tokens"))
 
 
-@query("select doc_index, cast(doc_id as varchar) as id from offs where doc_index in (0, 1, 17, (select max(doc_index) from offs))")
+@query("select doc_index, cast(doc_id as varchar) as id from offs")
 def id_of_doc(spark, sf_dir):
-    d = plans.numbered(placed(spark, sf_dir), "doc_id", "doc_index")
-    last = F.broadcast(d.agg(F.max("doc_index").alias("last")))
-    return d.join(last).where(F.col("doc_index").isin(0, 1, 17) | (F.col("doc_index") == F.col("last"))).select("doc_index", F.col("doc_id").cast("string").alias("id"))
+    return corpus(spark, sf_dir).docs.select("doc_index", F.col("doc_id").cast("string").alias("id"))
 
 
-@query("""select cast(doc_id as varchar) as id, doc_index, start, "end" from offs where doc_id in (3, 42, 77)""")
+@query("""select cast(doc_id as varchar) as id, doc_index, start, "end" from offs""")
 def find_doc_by_id(spark, sf_dir):
-    d = plans.numbered(placed(spark, sf_dir), "doc_id", "doc_index")
-    return d.where(F.col("doc_id").isin(3, 42, 77)).select(F.col("doc_id").cast("string").alias("id"), "doc_index", "start", "end")
+    want = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"))
+    return read.documents_by_id(want, corpus(spark, sf_dir).docs.withColumn("id", F.col("doc_id").cast("string"))).select("id", "doc_index", "start", "end")
 
 
-@query("""select p.position, o.doc_id from (select unnest(range(0, (select n from total), 211)) as position) p join offs o on p.position >= o.start and p.position < o."end" """)
+@query("""select p.position, o.doc_id from (select unnest([start, "end" - 1]) as position from offs) p join offs o on p.position >= o.start and p.position < o."end" """)
 def doc_at_position(spark, sf_dir):
-    want = spark.range(0, total_items(spark, sf_dir), 211).select(F.col("id").alias("position"))
-    return read.document_at(want, placed(spark, sf_dir), S)
+    docs = corpus(spark, sf_dir).placed()
+    return read.document_at(docs.select(F.explode(F.array("start", F.col("end") - 1)).alias("position")), docs, S)
 
 
 def _grid(length: int, stride: int) -> str:
@@ -307,7 +303,7 @@ from (select unnest(range(((select n from total) - {length}) // {stride} + 1)) a
 
 
 def _grid_windows(spark, sf_dir, length: int, stride: int) -> DataFrame:
-    start = F.explode(read.grid(total_items(spark, sf_dir), length, stride))
+    start = F.explode(read.grid(corpus(spark, sf_dir).n_items, length, stride))
     want = spark.range(1).select(start.alias("start")).select((F.col("start") / stride).cast("long").alias("window"), "start", F.lit(length).cast("long").alias("length"))
     return _windows(spark, sf_dir, want)
 
@@ -340,13 +336,13 @@ _MIX = "mix as (select * from (values ('en', 0, 3.0::double), ('de', 1, 1.0), ('
 @query(f"""select i as "window", start, count(*) as n, sha256(string_agg(s.token, ' ' order by s.position)) as tokens
 from (select i, {_DRAW.format(seed=1)} % ((select n from total) - 127) as start from (select unnest(range(200)) as i)) w join stream s on s.position >= start and s.position < start + 128 group by 1, 2""")
 def sample_windows_lcg(spark, sf_dir):
-    want = sample.arithmetic_starts(spark, 200, total_items(spark, sf_dir), 128, 1).withColumn("length", F.lit(128).cast("long"))
+    want = sample.arithmetic_starts(spark, 200, corpus(spark, sf_dir).n_items, 128, 1).withColumn("length", F.lit(128).cast("long"))
     return _hashed(_windows(spark, sf_dir, want))
 
 
 @query()
 def sample_windows_numpy(spark, sf_dir):
-    want = sample.uniform_starts(spark, 200, total_items(spark, sf_dir), 128, seed=1).withColumn("length", F.lit(128).cast("long"))
+    want = sample.uniform_starts(spark, 200, corpus(spark, sf_dir).n_items, 128, seed=1).withColumn("length", F.lit(128).cast("long"))
     return _hashed(_windows(spark, sf_dir, want))
 
 
@@ -436,7 +432,7 @@ def longest_document(spark, sf_dir):
 
 @query("select token, count(*) as n from stream group by token order by n desc, token limit 5")
 def token_frequencies(spark, sf_dir):
-    return items(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(5)
+    return corpus(spark, sf_dir).chunks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(5)
 
 
 @query("select source, cast(sum(len(p) + 1) as bigint) as n_items from pieces group by source")
@@ -456,14 +452,14 @@ join (select row_number() over (order by case when doc_id = 5 then 6 when doc_id
 def resume_order_check(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id")
     swapped = d.select("doc_id", F.when(F.col("doc_id") == 5, 6).when(F.col("doc_id") == 6, 5).otherwise(F.col("doc_id")).alias("o"))
-    a = plans.numbered(d, "doc_id", "input_index").select("input_index", F.col("doc_id").cast("string").alias("id"))
-    b = plans.numbered(swapped, "o", "input_index").select("input_index", F.col("doc_id").cast("string").alias("recorded"))
+    a = numbered(d, "doc_id", "input_index").select("input_index", F.col("doc_id").cast("string").alias("id"))
+    b = numbered(swapped, "o", "input_index").select("input_index", F.col("doc_id").cast("string").alias("recorded"))
     return a.join(b, "input_index").where(~F.col("id").eqNullSafe(F.col("recorded"))).select("input_index", "id", "recorded")
 
 
 @query("""select i, start, before from (select doc_index as i, s as start, lag(s) over (order by doc_index) as before from (select doc_index, case when doc_index % 50 = 7 then 0 else start end as s from offs)) where start < before""")
 def monotonic_index_check(spark, sf_dir):
-    d = plans.numbered(placed(spark, sf_dir), "doc_id", "doc_index").select(F.col("doc_index").alias("i"), F.when(F.col("doc_index") % 50 == 7, 0).otherwise(F.col("start")).alias("start"))
+    d = numbered(placed(spark, sf_dir), "doc_id", "doc_index").select(F.col("doc_index").alias("i"), F.when(F.col("doc_index") % 50 == 7, 0).otherwise(F.col("start")).alias("start"))
     return stats.not_increasing(d, "i", "start")
 
 
@@ -475,13 +471,13 @@ def pages_pieces(spark, sf_dir):
 @query(f"""select conv_id, turn, cast(sum(n) over (partition by conv_id order by turn) as bigint) - n as start, n as n_items from (select conv_id, turn, cast(len(regexp_extract_all(text, '{PIECES}')) + 1 as bigint) as n from conversations)""", False)
 def conversation_stream(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(fn.pieces("text")) + 1).cast("long").alias("n_items"))
-    return plans.running(c, "turn", F.col("n_items"), "end", ("conv_id",)).select("conv_id", "turn", (F.col("end") - F.col("n_items")).alias("start"), "n_items")
+    return running(c, "turn", F.col("n_items"), "end", ("conv_id",)).select("conv_id", "turn", (F.col("end") - F.col("n_items")).alias("start"), "n_items")
 
 
 @query("select event_id, cast(sum(strlen(props)) over (order by event_id) as bigint) - strlen(props) as start, strlen(props) as n_bytes from events", False)
 def events_stream_offsets(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.octet_length("props").cast("long").alias("n_bytes"))
-    return plans.running(e, "event_id", F.col("n_bytes"), "end").select("event_id", (F.col("end") - F.col("n_bytes")).alias("start"), "n_bytes")
+    return running(e, "event_id", F.col("n_bytes"), "end").select("event_id", (F.col("end") - F.col("n_bytes")).alias("start"), "n_bytes")
 
 
 @query("""select doc_id, case when n < 1024 then n || ' B' else t // 10 || '.' || t % 10 || unit end as size from (
