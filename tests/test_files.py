@@ -187,3 +187,47 @@ def test_text_inputs(spark, tmp_path):
     for bad in ("missing", "sub"):
         with pytest.raises(EngineError, match="C311"):
             sources.jsonl(spark, str(tmp_path / bad))
+
+
+def test_pack_and_unpack(spark, tiny, tmp_path):
+    import tarfile
+
+    from tokenloom.operators import pack
+
+    root, _, _ = tiny
+    same = lambda a, b: {p.relative_to(a): p.read_bytes() for p in a.rglob("*") if p.is_file()} == {p.relative_to(b): p.read_bytes() for p in b.rglob("*") if p.is_file()}
+    for method, tar in (("zstd", False), ("lzma", True), ("none", True)):
+        at = tmp_path / f"{method}.tlpack"
+        pack.pack_source(spark, root / "web", at, method, tar=tar)
+        pack.unpack_source(spark, at, tmp_path / f"back-{method}")
+        assert same(root / "web", tmp_path / f"back-{method}")
+    assert pack.manifest_files(spark, tmp_path / "zstd.tlpack").count() == len(list((root / "web").rglob("*.*")))
+    (tmp_path / "zstd.tlpack" / "train-00000.bin").write_bytes(b"x")
+    with pytest.raises(EngineError, match="P106"):
+        pack.unpack_source(spark, tmp_path / "zstd.tlpack", tmp_path / "no")
+    assert not (tmp_path / "no").exists() and not list(tmp_path.glob("no.*"))
+    for names, kind in ((["a.tlpack/../x"], None), (["/a.tlpack/x"], None), (["a.tlpack/x", "b.tlpack/y"], None), (["a.tlpack/x", "a.tlpack/x"], None), (["a/x"], None), (["a.tlpack/l"], tarfile.SYMTYPE), (["a.tlpack/l"], tarfile.LNKTYPE), (["a.tlpack/d"], tarfile.CHRTYPE), (["C:a.tlpack/x"], None), (["a.tlpack\\x"], None)):
+        with tarfile.open(tmp_path / "evil.tar", "w") as t:
+            for n in names:
+                info = tarfile.TarInfo(n)
+                info.type, info.linkname = kind or tarfile.REGTYPE, "/etc/passwd"
+                t.addfile(info)
+        with pytest.raises(EngineError, match="P10[14]"):
+            pack.unpack_source(spark, tmp_path / "evil.tar", tmp_path / "no")
+
+
+def test_command_line(spark, tiny, tmp_path, capsys):
+    from tokenloom import cli
+
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"t{i} t{i + 1}")
+    tokenizer().save(str(tmp_path / "tok.json"))
+    source = str(tmp_path / "c" / "src")
+    (tmp_path / "c").mkdir()
+    assert cli.main(["--json", "build", source, "--input", str(tmp_path / "in"), "--tokenizer", str(tmp_path / "tok.json"), "--shard-bytes", "1K"]) == 0
+    assert json.loads(capsys.readouterr().out)["result"]["stats"]["n_items"] == 15
+    assert cli.main(["info", source]) == 0 and cli.main(["ls", str(tmp_path / "c")]) == 0 and cli.main(["verify", source]) == 0 and cli.main(["doctor"]) == 0 and cli.main(["migrate", source]) == 0
+    (tmp_path / "c" / "src" / "train-00000.bin").write_bytes(b"")
+    assert cli.main(["verify", source]) == 1 and cli.main(["rm", source]) == 2 and cli.main(["rm", source, "--yes"]) == 0
+    assert cli.main(["info", source]) == 3 and cli.main(["nonsense"]) == 2 and cli.parse_size("3M") == 3 << 20

@@ -375,8 +375,10 @@ def mixture_shares(spark, sf_dir):
 
 @query()
 def mixture_indexed(spark, sf_dir):
-    sizes = {r["lang"]: r["n"] for r in plans.lengths(documents(spark, sf_dir)).groupBy("lang").agg(F.sum("n_items").alias("n")).collect()}
-    return sample.indexed_draws(spark, 1000, [(s, w, sizes.get(s, 0)) for s, _, w in WEIGHTS], 128, seed=3)
+    from .operators.mixture import Mixture
+
+    items = Mixture.open(_written(spark, sf_dir), {"en": 3.0, "de": 1.0, "fr": 0.0}).indexed(spark, 1000, 128, seed=3)
+    return items.select("row", "source", "start", F.sha2(joined("tokens"), 256).alias("tokens"))
 
 
 @query("""select count(distinct h) > 1 as mixed, count(distinct h) as n from (select lang, case when lang = 'fr' then 'b' else 'a' end as h from documents)""", False)
@@ -491,3 +493,82 @@ def formatted_sizes(spark, sf_dir):
 def source_names(spark, sf_dir):
     extra = spark.createDataFrame([(s,) for s in (".x", "a.partial", "a/b", "ok-1")], "name string")
     return documents(spark, sf_dir).select(F.col("source").alias("name")).distinct().union(extra).select("name", fn.valid_source_name(F.col("name")).alias("valid"))
+
+
+@query("select lang as source, count(*) as n_docs, cast(sum(n_items) as bigint) as n_items from lens group by lang")
+def source_totals(spark, sf_dir):
+    return _sized(spark, sf_dir).groupBy(F.col("lang").alias("source")).agg(F.count("*").alias("n_docs"), F.sum("n_items").alias("n_items"))
+
+
+@query(f"""select split, count(*) as n_docs, cast(sum(n_items) as bigint) as n_items from (
+select {_SPLIT} as split, n_items from lens where {_SPLIT} <> 'test' union all select 'test', n_items from lens where lang = 'de') group by split""")
+def merge_split(spark, sf_dir):
+    """Totals by split after the split `test` is replaced by another one; the other splits stay."""
+    old = _sized(spark, sf_dir).select("split", "n_items")
+    new = _sized(spark, sf_dir).where("lang = 'de'").select(F.lit("test").alias("split"), "n_items")
+    both = old.join(new.select("split").distinct(), "split", "left_anti").unionByName(new)
+    return both.groupBy("split").agg(F.count("*").alias("n_docs"), F.sum("n_items").alias("n_items"))
+
+
+@query(f"""select o.doc_id, b * {S} as border, count(*) as n_written, sha256(string_agg(s.token, ' ' order by s.position)) as tail, true as same
+from offs o join (select unnest(range(1, (select n from total) // {S} + 1)) as b) on o.start < b * {S} and b * {S} < o."end" and b * {S} - o.start <= {S}
+join stream s on s.position >= o.start and s.position < b * {S} group by 1, 2""")
+def resume_tail_check(spark, sf_dir):
+    """For each document that a border of shards cuts first: its items before the border are the end of the shard."""
+    c = corpus(spark, sf_dir)
+    cut = c.docs.withColumn("items", plans.assembled()).withColumn("border", (F.floor(F.col("start") / S) + 1) * S).where(F.col("border") < F.col("end"))
+    head = cut.where(F.col("border") > F.col("start")).select("doc_id", "border", F.slice("items", F.lit(1), (F.col("border") - F.col("start")).cast("int")).alias("head"), (F.floor(F.col("border") / S) - 1).alias("chunk"))
+    met = head.join(c.chunks.select("chunk", "tokens"), "chunk")
+    tail = F.slice("tokens", -F.size("head"), F.size("head"))
+    return met.select("doc_id", "border", F.size("head").cast("long").alias("n_written"), F.sha2(joined("head"), 256).alias("tail"), (tail == F.col("head")).alias("same"))
+
+
+_SOURCES: dict[tuple, str] = {}
+
+
+def _written(spark, sf_dir) -> str:
+    """A folder with the documents as files of sources en and de, of a capped word vocabulary."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    from . import sinks, sources, storage
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SOURCES:
+        known = corpus(spark, sf_dir).vocab.where(F.col("token") < fn.FIRST_WORD + 1000).collect()  # at most 1,000 rows
+        t = Tokenizer(models.WordLevel({"[UNK]": 0, "<|endoftext|>": 1, "<s>": 2} | {r["piece"]: r["token"] for r in known}, unk_token="[UNK]"))
+        t.pre_tokenizer = pre_tokenizers.Split(Regex(PIECES), "removed", invert=True)
+        root = storage.work_dir(spark).removeprefix("file://") + f"/sources-{len(_SOURCES)}"
+        for lang in ("en", "de"):
+            docs = documents(spark, sf_dir).where(F.col("lang") == lang).select("doc_id", F.col("doc_id").cast("string").alias("id"), "text")
+            sinks.write_split(sources.from_table(docs, "doc_id", "text", "id"), root, lang, t, sinks.WriterConfig(shard_bytes=1 << 20))
+        _SOURCES[key] = root
+    return _SOURCES[key]
+
+
+@query()
+def shard_sha256(spark, sf_dir):
+    from pathlib import Path
+
+    from .operators.source import read_meta
+
+    root = _written(spark, sf_dir)
+    rows = [(lang, x["name"], x["n_items"], x["n_bytes"], x["sha256"]) for lang in ("en", "de") for x in read_meta(Path(root) / lang)["splits"]["train"]["shards"]]
+    return spark.createDataFrame(rows, "source string, name string, n_items long, n_bytes long, sha256 string")
+
+
+@query()
+def verify_shards(spark, sf_dir):
+    from .operators.inspect import verify_source
+
+    root = _written(spark, sf_dir)
+    return verify_source(spark, f"{root}/en").withColumn("source", F.lit("en")).unionByName(verify_source(spark, f"{root}/de").withColumn("source", F.lit("de")))
+
+
+@query()
+def mixture_batch(spark, sf_dir):
+    import numpy as np
+
+    from .operators.mixture import Mixture
+
+    batch = Mixture.open(_written(spark, sf_dir), {"en": 3.0, "de": 1.0}).batch(spark, 64, 256, np.random.default_rng(5))
+    return batch.select("row", "source", "start", F.size("tokens").cast("long").alias("n"), F.sha2(joined("tokens"), 256).alias("tokens"))
