@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import free_name, materialize, running
+from ..storage import free_name, materialize, running_sums
 
 
 def classified(docs: DataFrame, top: int, text: str = "text", unreadable: str = "unreadable") -> DataFrame:
@@ -20,8 +20,8 @@ def classified(docs: DataFrame, top: int, text: str = "text", unreadable: str =
 
 def skip_guard(docs: DataFrame, order: str, limit: float, least: int) -> DataFrame:
     """order, n_input, n_skipped, tripped: is the running share of skipped inputs over the limit here?"""
-    d = running(docs.select(order, F.col("code").isNotNull().cast("int").alias("bad")), order, F.lit(1), "n_input")
-    d = running(d, order, F.col("bad"), "n_skipped")
+    bad = F.col("code").isNotNull().cast("int")
+    d = running_sums(docs.select(order, bad.alias("bad")), order, {"n_input": F.lit(1), "n_skipped": F.col("bad")})
     return d.select(order, "n_input", "n_skipped", ((F.col("n_input") >= least) & (F.col("n_skipped") / F.col("n_input") > limit)).alias("tripped"))
 
 
