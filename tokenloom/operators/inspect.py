@@ -20,6 +20,7 @@ from ..sinks import NAME, SPLITS, file_sha256
 from .source import index_problem, read_meta
 
 STEP = 1 << 20  # values of an index that a task checks
+TEXT_STEP = 1 << 20  # bytes of the lines that it holds
 
 
 def source_names(root: str | Path) -> list[str]:
@@ -134,11 +135,16 @@ def verify_source(spark: SparkSession, path: str | Path) -> DataFrame:
         if len(down):
             return "wrong_values", size, f"value {lo + int(down[0]) + 1} is below the one before"
         if kind == "ids" and len(v) > 1:
+            if v[0] < 0 or v[-1] > last:
+                return "wrong_values", size, f"values {lo} to {lo + len(v) - 1} reach outside of the lines"
+            ends = v[1:] - 1
             with open(text, "rb") as f:
                 f.seek(int(v[0]))
-                raw = np.frombuffer(f.read(int(v[-1] - v[0])), np.uint8)
-            if (raw[v[1:] - v[0] - 1] != 10).any():
-                return "wrong_values", size, "a line doesn't end where the next one starts"
+                for at in range(int(v[0]), int(v[-1]), TEXT_STEP):
+                    raw = np.frombuffer(f.read(min(TEXT_STEP, int(v[-1]) - at)), np.uint8)
+                    mine = ends[slice(*np.searchsorted(ends, (at, at + len(raw))))]
+                    if (raw[mine - at] != 10).any():
+                        return "wrong_values", size, "a line doesn't end where the next one starts"
         return "ok", min(size, 8 * len(v)), None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
