@@ -187,6 +187,40 @@ def brute_passages(texts, length=50):
     return out
 
 
+@pytest.mark.parametrize("grain", [repeats.BYTES, repeats.PASSAGE])
+def test_runs_of_a_batch(grain):
+    """As of its texts one by one; nulls and empty lists have none, and runs may overlap and touch."""
+    rng = random.Random(8)
+    texts = ["", None, "ab, cé d", *(" ".join("xyé"[: rng.randint(1, 3)] for _ in range(rng.randint(1, 60))) for _ in range(40))]
+    spans = []
+    for t in texts:
+        size = len((t or "").encode()) if grain.unit == "bytes" else len(grain.raw((t or "").encode())) // 8
+        cuts = [sorted((rng.randint(0, size), rng.randint(0, size))) for _ in range(rng.randint(0, 4))]
+        spans.append(rng.choice([None, [{"a": a, "b": b} for a, b in cuts if a < b]]) if size else None)
+    data, off = byte_view(pa.array(texts))
+    got = repeats.runs_in_bytes(pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), data, off, grain)
+    want = [(i, *r) for i, (t, s) in enumerate(zip(texts, spans)) for r in repeats.in_bytes((t or "").encode(), s, grain)]
+    assert list(zip(*(x.tolist() for x in got))) == want and len(want) > 20
+
+
+def test_anchors_are_found_in_small_blocks(monkeypatch):
+    """A block's hashes (8 bytes a symbol, a few at once) fit a core's cache, and anchors don't depend on blocks."""
+    assert 4 * 8 * repeats.BYTES.block <= 1 << 20
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 399, 400, 401, 5000, 300, 900)]
+
+    def found(texts):
+        data, off = byte_view(pa.array(texts, pa.binary()))
+        return list(zip(*(x.tolist() for x in repeats.anchors(*repeats.BYTES.symbols(data, off), repeats.BYTES))))
+
+    got = found(texts)
+    assert got == [(i, *x[1:]) for i, t in enumerate(texts) for x in found([t])]
+    for i, t in enumerate(texts):  # every string has one anchor, inside it
+        runs = [x[1:4] for x in got if x[0] == i]
+        assert [k for a, b, _ in runs for k in range(a, b + 1)] == list(range(max(0, len(t) - 399)))
+        assert all(b <= at and at + 256 <= a + 400 for a, b, at in runs)
+
+
 @pytest.mark.parametrize("many", [2000, 1])
 def test_repeats(spark, monkeypatch, many):
     monkeypatch.setattr(repeats, "MANY", many)  # few: anchors are split by what comes next, down to whole strings

@@ -77,6 +77,12 @@ SIGNS_OFF = np.arange(256, dtype=np.uint8)
 SIGNS_OFF[[b for b in range(128) if not chr(b).isalnum()]] = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_INSIDE = (~_SPACE).view(np.uint8)
+
+
+def mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for bytes."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), np.uint8)
 
 
 def byte_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +119,8 @@ def placed_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, U), np.zeros(len(off), np.int64), none, none
-    data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = mapped(data, _INSIDE).view(bool)
+    data = mapped(data, _LOWER)
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     before = np.concatenate([[False], inside[:-1]]) & ~cut[:n]

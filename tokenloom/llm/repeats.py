@@ -36,10 +36,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, SIGNS_OFF, Bloom, U, _M1, _M2, _M3, blocks, byte_view, i64, materialize, mix, placed_words, ranges, text_keys
+from .common import _BYTE, SIGNS_OFF, Bloom, U, _M1, _M2, _M3, blocks, byte_view, i64, mapped, materialize, mix, placed_words, text_keys
 from .sais import common_prefixes, suffix_array, wide_suffix_array
 
 #: Symbols of a shard, and pieces of one anchor that a shard takes; more are split by what comes next.
@@ -64,9 +65,14 @@ class Grain:
         """Bytes of a symbol."""
         return 1 if self.unit == "bytes" else 8
 
+    @property
+    def block(self) -> int:
+        """Bytes of text that anchors are looked for at once: their hashes then stay in a core's cache."""
+        return 1 << 15 if self.unit == "bytes" else 1 << 17
+
     def symbols(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hashes of the symbols, and n + 1 offsets by document."""
-        return (_BYTE[data], off) if self.unit == "bytes" else placed_words(SIGNS_OFF[data], off)[:2]
+        return (_BYTE[data], off) if self.unit == "bytes" else placed_words(mapped(data, SIGNS_OFF), off)[:2]
 
     def raw(self, text: bytes) -> bytes:
         """A text as symbols of `width` bytes."""
@@ -82,19 +88,22 @@ PASSAGE = Grain("words", 50, 32)
 
 def _doubling(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of size symbols, a power of two."""
+    spare = np.empty((2, len(h)), U)
     for k in range(size.bit_length() - 1):
-        h = h[: -(1 << k)] * _MUL[k] + h[1 << k :]
+        out = spare[k & 1, : max(0, len(h) - (1 << k))]
+        np.multiply(h[: len(out)], _MUL[k], out=out)
+        out += h[len(h) - len(out) :]
+        h = out
     return h
 
 
-def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
-    """op over x[i:i + w] for every i, in two passes over blocks of w."""
-    n = len(x) - w + 1
-    size = -(-len(x) // w) * w
-    y = np.concatenate([x, np.full(size - len(x), fill, x.dtype)]).reshape(-1, w)
-    ahead = op.accumulate(y, axis=1).reshape(-1)
-    back = op.accumulate(y[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return op(back[:n], ahead[w - 1 : w - 1 + n])
+def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of x[i:i + w] for every i, of windows of doubling size."""
+    spare, n, size = np.empty((2, len(x)), x.dtype), len(x) - w + 1, 1
+    for k in range(w.bit_length() - 1):
+        x = np.minimum(x[:-size], x[size:], out=spare[k & 1, : len(x) - size])
+        size *= 2
+    return np.minimum(x[:n], x[w - size : w - size + n])
 
 
 def anchors(h: np.ndarray, off: np.ndarray, grain: Grain) -> tuple[np.ndarray, ...]:
@@ -108,13 +117,17 @@ def anchors(h: np.ndarray, off: np.ndarray, grain: Grain) -> tuple[np.ndarray, .
         return none, none, none, none, np.zeros(0, U), np.zeros(0, U)
     g = _doubling(h, anchor)
     # hash above, place below: the least is the first of the least; 32 bits decide alike everywhere
-    order = (mix(g) & U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=U)
-    chosen = (_sliding(order, length - anchor + 1, np.minimum, U(0xFFFFFFFFFFFFFFFF)) & U(0xFFFFFFFF)).astype(np.int64)
-    starts = ranges(off[doc], size[doc] - length + 1)
-    at = chosen[starts]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    first, last, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], at[new]
-    which = np.searchsorted(off, first, "right") - 1
+    order = g & U(0xFFFFFFFF00000000)
+    order |= np.arange(len(g), dtype=U)
+    least = _sliding_least(order, length - anchor + 1)
+    begin = off[doc]
+    stop = begin + size[doc] - length + 1
+    cut = np.sort(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begin, stop]))
+    cut = cut[np.concatenate([[True], cut[1:] != cut[:-1]])]
+    which = np.searchsorted(begin, cut, "right") - 1
+    run = np.flatnonzero((which >= 0) & (cut < stop[which]))
+    first, last, which = cut[run], cut[run + 1] - 1, doc[which[run]]
+    at = (least[first] & U(0xFFFFFFFF)).astype(np.int64)
     end = last + length
     piece = mix(g[first] * _M1 + mix(g[end - anchor] * _M2 + mix(g[(first + end - anchor) // 2] + (end - first).astype(U) * _M3)) + (at - first).astype(U))
     base = off[which]
@@ -132,7 +145,7 @@ def repeated_spans(docs: DataFrame, grain: Grain = BYTES, text: str = "text") ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = byte_view(b.column(0))
-            parts = [anchors(*grain.symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), grain)[4] for lo, hi in blocks(off)]
+            parts = [anchors(*grain.symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), grain)[4] for lo, hi in blocks(off, grain.block)]
             h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U), return_counts=True)
             yield pa.RecordBatch.from_arrays([i64(h), i64(n)], ["anchor", "n"])
 
@@ -145,7 +158,7 @@ def repeated_spans(docs: DataFrame, grain: Grain = BYTES, text: str = "text") ->
         for b in batches:
             h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, off = byte_view(b.column(2))
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, grain.block):
                 d, first, last, at, a, c = anchors(*grain.symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), grain)
                 hit = bloom.contains(a)
                 d = d[hit] + lo
@@ -368,6 +381,35 @@ def in_bytes(raw: bytes, spans: list[dict] | None, grain: Grain) -> list[tuple[i
     return [(int(start[a]), int(end[b - 1])) for a, b in merged(spans, len(start))]
 
 
+def runs_in_bytes(spans: pa.ListArray, data: np.ndarray, off: np.ndarray, grain: Grain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """in_bytes() of all texts (data, off) of a batch: each run's text, start and end in it, in order."""
+    doc = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    a, b = (np.maximum(flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64), 0) for x in ("a", "b"))
+    if not len(doc):
+        return doc, a, b
+    count = np.diff(off)
+    if grain.unit != "bytes":
+        places = [np.zeros(0, np.int64)] * len(spans)
+        for lo, hi in blocks(off, grain.block):
+            if np.searchsorted(doc, lo) < np.searchsorted(doc, hi):
+                _, at, start, end = placed_words(mapped(data[off[lo] : off[hi]], SIGNS_OFF), off[lo : hi + 1] - off[lo])
+                both = np.stack([start, end]) + off[lo]
+                places[lo:hi] = [both[:, x:y] for x, y in zip(at[:-1], at[1:])]
+        count = np.array([x.shape[-1] for x in places])
+    b = np.minimum(b, count[doc])
+    wide = int(off[-1]) + 2  # texts are apart in one order
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order] + doc[order] * wide, b[order] + doc[order] * wide
+    reach = np.maximum.accumulate(b)
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(a)) - 1
+    doc, a, b = doc[first], a[first] - doc[first] * wide, reach[last] - doc[first] * wide
+    if grain.unit != "bytes":
+        a, b = (np.array([places[d][x, y] for d, y in zip(doc, at)], np.int64) - off[doc] for x, at in ((0, a), (1, b - 1)))
+    return doc, a, b
+
+
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in runs:
@@ -376,9 +418,10 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def with_spans(docs: DataFrame, spans: list[DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
+def with_spans(docs: DataFrame, spans: list[DataFrame], text: str = "text", others: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """docs as (row struct, h1, h2), in two parts: rows whose text has spans (with them: spans0, ...), and the
-    others. The others, most of a corpus, aren't shuffled. Columns of docs can't clash, as they are in row."""
+    others. The others, most of a corpus, aren't shuffled; their row is the struct `others`, if it is given, and then their
+    texts stay out of Python. Columns of docs can't clash, as they are in row."""
     keyed = docs.select(F.struct("*").alias("row"), *text_keys(text))
     both = None
     for i, s in enumerate(spans):
@@ -386,7 +429,7 @@ def with_spans(docs: DataFrame, spans: list[DataFrame], text: str = "text") -> t
         both = s if both is None else both.join(s, ["h1", "h2"], "full")
     may = Bloom.build(both, "h1")
     hit = may.keep(keyed, "h1").join(both, ["h1", "h2"], "left")
-    return hit, may.keep(keyed, "h1", negate=True)
+    return hit, may.keep(keyed if others is None else docs.select(others.alias("row"), *text_keys(text)), "h1", negate=True)
 
 
 def remove_repeats(docs: DataFrame, grain: Grain = BYTES, passage: Grain = PASSAGE, text: str = "text") -> DataFrame:
@@ -394,23 +437,30 @@ def remove_repeats(docs: DataFrame, grain: Grain = BYTES, passage: Grain = PASSA
     n_passages: the bytes and maximal runs of words that are in passages which occur elsewhere too."""
     docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hit, rest = with_spans(docs, [repeated_spans(docs, grain), repeated_spans(docs, passage)])
+    short = F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+    hit, rest = with_spans(docs, [repeated_spans(docs, grain), repeated_spans(docs, passage)], others=short)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in names[1:]]
-            for t, s, p in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                raw = t.encode()
-                runs, passages = in_bytes(raw, s, grain), in_bytes(raw, p, passage)
-                kept = hashlib.sha256(without(raw, runs)).hexdigest()
-                for column, v in zip(out, (len(raw), sum(y - x for x, y in runs), len(runs), kept, sum(y - x for x, y in passages), len(passages))):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string() if i == 3 else pa.int64()) for i, x in enumerate(out))], names)
+            data, off = byte_view(b.column(1))
+            cut, told = runs_in_bytes(b.column(2), data, off, grain), runs_in_bytes(b.column(3), data, off, passage)
+            n = [np.bincount(d, minlength=b.num_rows) for d, _, _ in (cut, told)]
+            size = [np.bincount(d, y - x, b.num_rows) for d, x, y in (cut, told)]
+            kept, starts, ends, edge = [], (off[cut[0]] + cut[1]).tolist(), (off[cut[0]] + cut[2]).tolist(), np.concatenate([[0], np.cumsum(n[0])]).tolist()
+            view = memoryview(data)
+            for k, (at, end) in enumerate(zip(off.tolist(), off[1:].tolist())):
+                digest = hashlib.sha256()
+                for r in range(edge[k], edge[k + 1]):
+                    digest.update(view[at : starts[r]])
+                    at = ends[r]
+                digest.update(view[at:end])
+                kept.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), i64(np.diff(off)), i64(size[0]), i64(n[0]), pa.array(kept, pa.string()), i64(size[1]), i64(n[1])], names)
 
     changed = hit.select("row.doc_id", "row.text", "spans0", "spans1").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
     zero = F.lit(0).cast("long")
-    same = rest.select("row.doc_id", F.octet_length("row.text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("row.text", 256).alias("kept_sha256"), zero.alias("passage_bytes"), zero.alias("n_passages"))
+    same = rest.select("row.doc_id", "row.n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "row.kept_sha256", zero.alias("passage_bytes"), zero.alias("n_passages"))
     return changed.unionByName(same)
 
 
